@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from glimmer.llm import textkit
 from glimmer.llm.common import arrow_chunks
-from glimmer.llm.linear import fit, sigmoid
+from glimmer.llm.linear import fit_newton, sigmoid
 
 #: Labelled rows, at most, from which the model learns.
 SAMPLE_ROWS = 20_000
 #: Lexicon entries, at most, and candidates for them.
 ENTRIES, CANDIDATES = 256, 20_000
 #: A candidate is in so many toxic sample rows at least, and so many times likelier in them.
-LEAST_TOXIC, LEAST_RATIO = 5, 20.0
+LEAST_TOXIC, LEAST_RATIO = 4, 20.0
 #: Bytes of the word beginnings that may be entries, besides whole words.
 BEGINNINGS = (7, 6, 5, 4)
 PATTERNS = ("shouting", "exclaiming", "stuttering")
@@ -114,40 +114,49 @@ def _candidates(sample: DataFrame) -> np.ndarray:
 
 
 def _cover(hits: np.ndarray, toxic: np.ndarray) -> list[int]:
-    """Greedy choice of columns: each covers toxic rows that fewer than two chosen ones cover."""
+    """Greedy choice of columns: each covers toxic rows that fewer than two chosen ones cover,
+    and none says nearly the same as another."""
     chosen: list[int] = []
     times = np.zeros(len(hits))
     clean = hits[~toxic].sum(0)
-    while len(chosen) < ENTRIES:
-        open_rows = toxic & (times < 2)
-        gain = hits[open_rows].sum(0) - 5 * clean
-        gain[chosen] = 0
-        k = int(np.argmax(gain)) if len(gain) else 0
-        if not len(gain) or gain[k] < 3:
-            return chosen
+    size = hits.sum(0)
+    usable = np.ones(hits.shape[1])
+    while len(chosen) < ENTRIES and usable.any():
+        gain = (hits[toxic & (times < 2)].sum(0) - 5 * clean) * usable
+        k = int(np.argmax(gain))
+        if gain[k] < 3:
+            break
         chosen.append(k)
         times += hits[:, k]
+        shared = hits[:, k] @ hits
+        usable[shared > 0.8 * np.maximum(size, size[k])] = 0
     return chosen
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior of toxic for rows of votes (1 toxic, 0 clean), from EM with correlated voters."""
-    n, k = votes.shape
-    post = np.where(votes.any(1), 0.9, prior / 4)
+def label_model(votes: np.ndarray, mined: int, rounds: int = 50) -> np.ndarray:
+    """Posterior of toxic for rows of votes, from EM with correlated voters.
+
+    A voter votes toxic (1) or abstains (0); a row on which the first ``mined`` (lexicon)
+    voters all abstain carries the vote of one more voter, silence.  Starts from "toxic if
+    any lexicon voter says so", so that a pattern voter earns its accuracy from them.
+    """
+    n = len(votes)
+    silent = ~votes[:, :mined].any(1)
+    post = np.where(silent, 0.02, 0.98)
     for _ in range(rounds):
         a, b = post, 1 - post
         share = np.clip(post.mean(), 0.001, 0.5)
         on_toxic = (a @ votes + 0.2) / (a.sum() + 2)
-        on_clean = np.minimum((b @ votes + 0.002) / (b.sum() + 2), on_toxic / 2)
-        gain = np.log(on_toxic / on_clean)
-        loss = np.log((1 - on_toxic) / (1 - on_clean))
-        # Correlation within the classes: voters that agree beyond the class share their evidence.
+        on_clean = np.minimum((b @ votes + 0.002) / (b.sum() + 2), on_toxic)
+        # Correlation within the classes: what correlated voters say together counts less than its sum.
         resid = votes - post[:, None] * on_toxic - (1 - post)[:, None] * on_clean
         cov = resid.T @ resid / n
         sd = np.sqrt(np.diag(cov)) + 1e-9
         overlap = np.clip(cov / sd[:, None] / sd, 0, 1)
-        weight = 1 / (1 + (overlap.sum(1) - 1))
-        new = sigmoid(np.log(share / (1 - share)) + votes @ (gain * weight) + (1 - votes) @ (loss * weight))
+        np.fill_diagonal(overlap, 0)
+        evidence = (votes * np.log(on_toxic / on_clean) / (1 + votes @ overlap)).sum(1)
+        quiet = np.log((a @ silent + 0.2) / (a.sum() + 2)) - np.log((b @ silent + 0.2) / (b.sum() + 2))
+        new = sigmoid(np.log(share / (1 - share)) + evidence + silent * min(quiet, 0.0))
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
@@ -191,9 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen_columns = sorted(_cover(hits, y == 1), key=lambda c: found[c])
     x = hits[:, chosen_columns]
     votes = np.concatenate([x, (extra > [0.3, 0.2, 0.2]).astype(np.float32)], 1)
-    prior = float(np.clip(y.mean(), 0.001, 0.5))
-    post = label_model(votes, prior)
-    weights = fit(np.concatenate([x, extra], 1), post, l2=1e-4, steps=500)
+    post = label_model(votes, x.shape[1])
+    weights = fit_newton(np.concatenate([x, extra], 1), post, l2=1e-5)
     return Model(found[chosen_columns], weights)
 
 
