@@ -117,15 +117,18 @@ class Words:
             ok[max(0, b - k + 1) : min(b, n)] = False
         return mix((s[k:] - s[:n]) * q[:n]), ok
 
-    def whole(self, which: int = 0) -> np.ndarray:
-        """Hash of each text's whole word sequence."""
+    def ranges(self, a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+        """Hash of the words a[i] .. b[i] - 1."""
         h = self.hashes[which]
         p, q = _WINDOW_POWERS[which].upto(len(h) + 1)
         s = np.zeros(len(h) + 1, U64)
         np.cumsum(h * p[: len(h)], out=s[1:])
-        a, b = self.first[:-1], self.first[1:]
         return mix((s[b] - s[a]) * q[a] + (b - a).astype(U64))
 
+    def whole(self, which: int = 0) -> np.ndarray:
+        """Hash of each text's whole word sequence."""
+        return self.ranges(self.first[:-1], self.first[1:], which)
+
 
 def words(data: np.ndarray, bounds: np.ndarray, values: np.ndarray, hashes: int = 1) -> Words:
     """Split the texts ``data[bounds[i]:bounds[i + 1]]``; the first bound is 0."""
