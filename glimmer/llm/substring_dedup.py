@@ -3,11 +3,11 @@
 A window is ``WINDOW`` consecutive words; a word goes if a window covers it whose word
 sequence also starts somewhere else.
 
-1. Every window is represented by the smallest hash of its ``GRAM``-word phrases
-   (its anchor).  Equal windows have equal anchors, so a window can only recur if its
-   anchor does.  Anchors are counted over all documents; recurring ones fill a bitmap
-   of fixed size, which only serves to leave out windows that cannot recur.
-2. Runs of windows with a recurring anchor are taken from the documents.  Equal runs
+1. Every window is represented by the smallest and by the largest hash of its
+   ``GRAM``-word phrases (its anchors).  Equal windows have equal anchors, so a window can
+   only recur if both do.  Anchors are counted over all documents; recurring ones fill a
+   bitmap of fixed size, which only serves to leave out windows that cannot recur.
+2. Runs of windows with recurring anchors are taken from the documents.  Equal runs
    are one passage with a multiplicity.
 3. Passages are confirmed: one of a multiplicity of two or more recurs whole; in the
    others, windows are counted by 128-bit hashes over all passages.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.llm import textkit
-from glimmer.llm.common import arrow_chunks, i64, join_groups, stored
+from glimmer.llm.common import arrow_chunks, i64, stored
 
 WINDOW, GRAM = 35, 8
 #: Bits of the anchor bitmap (16 MB) and hashes of one part of it.
@@ -50,17 +50,22 @@ def _slide(x: np.ndarray, k: int, op) -> np.ndarray:
     return out
 
 
-def anchors(w: textkit.Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor of each window, whether the window is in one text, hashes of all anchor places)."""
+def anchors(w: textkit.Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(both anchors of each window, whether the window is in one text, hashes of all anchor
+    places); the largest hash is given as the smallest complement."""
     h, _ = w.windows(gram)
     span = window - gram + 1
+    none = np.zeros(0, U64)
     if len(h) < span:
-        return np.zeros(0, U64), np.zeros(0, bool), np.zeros(0, U64)
-    low = _slide(h, span, np.minimum)
+        return none, none, np.zeros(0, bool), none
     _, ok = w.windows(window)
-    held = np.where(ok, low, U64(0))
-    padded = np.concatenate([np.zeros(span - 1, U64), held, np.zeros(span - 1, U64)])
-    return low, ok, h[_slide(padded, span, np.maximum) == h]
+    lows, places = [], []
+    for x in (h, ~h):
+        low = _slide(x, span, np.minimum)
+        padded = np.concatenate([np.zeros(span - 1, U64), np.where(ok, low, U64(0)), np.zeros(span - 1, U64)])
+        lows.append(low)
+        places.append(x[_slide(padded, span, np.maximum) == x])
+    return lows[0], lows[1], ok, np.concatenate(places)
 
 
 def _bitmap(docs: DataFrame, window: int, gram: int) -> np.ndarray:
@@ -68,7 +73,7 @@ def _bitmap(docs: DataFrame, window: int, gram: int) -> np.ndarray:
 
     def count(batches):
         for b in batches:
-            held = [anchors(w, window, gram)[2] for _, w in arrow_chunks([b], "body", textkit.EXACT)]
+            held = [anchors(w, window, gram)[3] for _, w in arrow_chunks([b], "body", textkit.EXACT)]
             h, n = np.unique(np.concatenate(held) if held else np.zeros(0, U64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(i64(h)), pa.array(np.minimum(n, 2))], ["h", "n"])
 
@@ -116,9 +121,10 @@ def _opened(docs: DataFrame, bitmap, window: int, gram: int, digest: bool) -> Da
 
     def scan(batches):
         for rows, w in arrow_chunks(batches, "body", textkit.EXACT, 2):
-            low, ok, _ = anchors(w, window, gram)
+            low, high, ok, _ = anchors(w, window, gram)
             at = np.flatnonzero(ok)
             at = at[_in(bitmap.value, low[at])]
+            at = at[_in(bitmap.value, high[at])]
             n_texts = rows.num_rows
             runs: list[list] = [[] for _ in range(n_texts)]
             if len(at):
@@ -144,35 +150,35 @@ def _out(words: list[bytes], digest: bool) -> str:
 
 
 def _stretches(passages: DataFrame, window: int) -> DataFrame:
-    """(r1, r2, text): the confirmed stretches of the passages."""
+    """(p, text): the confirmed stretches of the passages."""
 
-    def windows(batches):
-        for rows, w in arrow_chunks(batches, "body", textkit.EXACT, 2):
-            (h1, ok), (h2, _) = w.windows(window, 0), w.windows(window, 1)
-            at = np.flatnonzero(ok)
-            own = w.owner[at]
-            first = at - w.first[own]
-            col = [rows.column(k).to_numpy()[own] for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i64(h1[at]), i64(h2[at]), *col, first)], ["w1", "w2", "r1", "r2", "m", "at"])
+    def windows(named: bool):
+        def run(batches):
+            for rows, w in arrow_chunks(batches, "body", textkit.EXACT, 2):
+                (h1, ok), (h2, _) = w.windows(window, 0), w.windows(window, 1)
+                at = np.flatnonzero(ok)
+                own = w.owner[at]
+                col = rows.column(0).to_numpy()[own]
+                rest = [pa.array(col), pa.array((at - w.first[own]).astype(np.int32))] if named else []
+                yield pa.RecordBatch.from_arrays([pa.array(i64(h1[at])), pa.array(i64(h2[at])), *rest], ["w1", "w2", "p", "at"][: 2 + len(rest)])
+
+        return run
 
     def cut(batches):
         for rows in batches:
             out = []
-            for r1, r2, body, at in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+            for p, body, at in zip(*(c.to_pylist() for c in rows.columns), strict=True):
                 words = body.split(" ")
-                out += [(r1, r2, " ".join(words[a:b])) for a, b in zip(*_merged(np.unique(at), window), strict=True)]
+                out += [(p, " ".join(words[a:b])) for a, b in zip(*_merged(np.unique(at), window), strict=True)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out]) for k in range(3)], ["r1", "r2", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out]) for k in range(2)], ["p", "text"])
 
-    inputs = passages.select("r1", "r2", "m", "body")
-    each = inputs.mapInArrow(windows, "w1 long, w2 long, r1 long, r2 long, m long, at long")
-    counted = each.groupBy("w1", "w2").agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("c")).filter("m > 1 AND c > 1")
-    counted = stored(counted.select("w1", "w2", "c"), "phrase-windows")
-    single = inputs.filter("m = 1").mapInArrow(windows, "w1 long, w2 long, r1 long, r2 long, m long, at long")
-    total = counted.agg(F.sum("c")).first()[0] or 1
-    found = join_groups(single, counted, ["w1", "w2"], "c", total).groupBy("r1", "r2").agg(F.collect_list("at").alias("at"))
-    partial = found.join(passages.filter("m = 1"), ["r1", "r2"]).select("r1", "r2", "body", "at").mapInArrow(cut, "r1 long, r2 long, text string")
-    return passages.filter("m > 1").select("r1", "r2", F.col("body").alias("text")).unionByName(partial)
+    counted = passages.select("p", "body").mapInArrow(windows(False), "w1 long, w2 long").groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c"))
+    counted = stored(counted.filter("c > 1").select("w1", "w2"), "phrase-windows")
+    single = passages.filter("m = 1")
+    found = single.select("p", "body").mapInArrow(windows(True), "w1 long, w2 long, p long, at int").join(counted, ["w1", "w2"]).groupBy("p").agg(F.collect_list("at").alias("at"))
+    partial = found.join(single, "p").select("p", "body", "at").mapInArrow(cut, "p long, text string")
+    return passages.filter("m > 1").select("p", F.col("body").alias("text")).unionByName(partial)
 
 
 class _Automata:
@@ -244,9 +250,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = int(max(32, -(-size // SHARD_BYTES)))
     shard = F.pmod(F.xxhash64("id", F.expr("runs[0].r1"), F.size("runs")), F.lit(shards)).cast("int")
     runs = work.select(shard.alias("shard"), F.inline("runs"))
-    passages = stored(runs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("m"), F.first("body").alias("body")), "phrase-passages")
+    passages = runs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("m"), F.first("body").alias("body"))
+    passages = stored(passages.withColumn("p", F.monotonically_increasing_id()), "phrase-passages")
     stretches = stored(_stretches(passages, window), "phrase-stretches")
-    routed = runs.select("shard", "r1", "r2").distinct().join(stretches, ["r1", "r2"]).select("shard", "text").distinct()
+    routed = runs.select("shard", "r1", "r2").distinct().join(passages.select("r1", "r2", "p"), ["r1", "r2"]).join(stretches, "p").select("shard", "text")
     rows = routed.select("shard", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("id"), F.col("text").alias("body")).unionByName(
         work.select(shard.alias("shard"), F.lit(1).alias("kind"), "id", "body")
     )
