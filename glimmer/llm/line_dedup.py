@@ -2,11 +2,11 @@
 
 Two lines are linked if their edit distance is at most ``edits``.  A line is cut into
 ``edits + 1`` segments; of two linked lines, the longer holds a segment of the shorter
-unchanged, near its place.  So the segments of each line are indexed by (length, number,
-content), and each line probes the index of every length from its own down to ``edits``
-less, at the starts that the position bounds allow.  Keys that one line alone has are
+unchanged, near its place.  So each line is indexed by its segments (number and content,
+the size of which goes with the length of the line), and probes for those of every length
+from its own down to ``edits`` less, at the starts that the position bounds allow.  Keys that one line alone has are
 dropped by an aggregation that Spark combines map-side; the lines of the remaining keys
-are compared by a bit-parallel recurrence over the band of diagonals that ``edits``
+are compared, inside the join, by a bit-parallel recurrence over the band of diagonals that ``edits``
 allows, on what is left after the common beginning and end are cut off.
 
 Everything is a SQL expression.
@@ -24,28 +24,45 @@ EDITS = 2
 LEAST_FUZZY = 24
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` (from 1) of a line of this length."""
+def _places(edits: int, residue: int) -> dict[tuple[int, int, int, int], bool]:
+    """Segments that a line of length (edits + 1) * m + residue is indexed by or probes for.
+
+    (number, coefficient and constant of the start, constant of the size) with start =
+    coefficient * m + constant (from 1) and size = m + constant; True where the line itself
+    is indexed by it.  Lines up to ``edits`` shorter are probed for at the offsets that
+    leave no more than ``edits`` edits on either side of the segment; places that several
+    lengths have in common appear once.
+    """
+    parts = edits + 1
+    out: dict[tuple[int, int, int, int], bool] = {}
+    for less in range(parts):
+        borrow = int(residue < less)
+        long_ones = residue - less + borrow * parts
+        for i in range(1, parts + 1):
+            size = int(i > parts - long_ones) - borrow
+            start = 1 - (i - 1) * borrow + max(0, i - 1 - (parts - long_ones))
+            for offset in range(max(1 - i, less - parts + i), min(i - 1, less + parts - i) + 1):
+                place = (i, i - 1, start + offset, size)
+                out[place] = out.get(place, False) or (less == 0 and offset == 0)
+    return out
+
+
+def signatures(line: Column, edits: int) -> Column:
+    """Array of (key, indexed) of a line; keys hold the segment's number and content."""
     parts = edits + 1
-    short = F.floor(length / parts).cast("int")
-    long_ones = (length % parts).cast("int")
-    short_ones = parts - long_ones
-    size = F.when(F.lit(i) <= short_ones, short).otherwise(short + 1)
-    start = short * (i - 1) + F.greatest(F.lit(i - 1) - short_ones, F.lit(0)) + 1
-    return start.cast("int"), size.cast("int")
-
-
-def signatures(line: Column, length: Column, edits: int) -> Column:
-    """Array of (key, indexed): the line's segments and all probes that they do not equal."""
-    out = []
-    for less in range(edits + 1):
-        for i in range(1, edits + 2):
-            start, size = _segment(length - less, i, edits)
-            low, high = max(-(i - 1), less - (edits + 1 - i)), min(i - 1, less + (edits + 1 - i))
-            for offset in range(low, high + 1):
-                piece = F.substring(line, start + offset, size)
-                out.append(F.struct(F.xxhash64(length - less, F.lit(i), piece).alias("key"), F.lit(less == 0 and offset == 0).alias("indexed")))
-    return F.array(*out)
+    length = F.char_length(line)
+    m = F.floor(length / parts).cast("int")
+
+    def of(residue: int) -> Column:
+        return F.array(*[
+            F.struct(F.xxhash64(F.lit(i), F.substring(line, m * k + start, m + size)).alias("key"), F.lit(indexed).alias("indexed"))
+            for (i, k, start, size), indexed in _places(edits, residue).items()
+        ])
+
+    out = of(0)
+    for residue in range(1, parts):
+        out = F.when(length % parts == residue, of(residue)).otherwise(out)
+    return out
 
 
 def _let(value: Column, body) -> Column:
@@ -126,7 +143,8 @@ def within(x: Column, y: Column, edits: int) -> Column:
             match = F.lit(0)
             for d in range(band):
                 match = match.bitwiseOR(F.when(F.get(z["x"], j + d) == c, 1 << d).otherwise(0))
-            return F.struct(_let(match, lambda m: following(s["r"], m)).alias("r"), (j + 1).alias("j"))
+            dead = s["r"][f"r{edits}"] == 0
+            return F.when(dead, s).otherwise(F.struct(_let(match, lambda m: following(s["r"], m)).alias("r"), (j + 1).alias("j")))
 
         last = F.aggregate(z["y"], F.struct(F.struct(*start).alias("r"), F.lit(0).alias("j")), column, lambda s: s["r"][f"r{edits}"])
         at = n_x - n_y + edits
@@ -145,18 +163,21 @@ def _lines(docs: DataFrame) -> DataFrame:
 def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_FUZZY) -> DataFrame:
     """(x, y): all pairs of different lines, x < y, at most ``edits`` edits apart."""
     lines = _lines(docs).select("line").filter(F.char_length("line") >= least)
-    keyed = lines.select(F.xxhash64("line").alias("line_id"), F.explode(signatures(F.col("line"), F.char_length("line"), edits)).alias("s")).select("line_id", "s.key", "s.indexed")
+    keyed = lines.select(F.xxhash64("line").alias("line_id"), F.explode(signatures(F.col("line"), edits)).alias("s"))
+    keyed = stored(keyed.select("line_id", "s.key", "s.indexed"), "line-signatures")
     live = keyed.groupBy("key").agg(F.min("line_id").alias("a"), F.max("line_id").alias("b"), F.max("indexed").alias("indexed"))
     live = stored(live.filter("a <> b AND indexed").select("key"), "line-keys")
     held = stored(keyed.join(small(live, live.count()), "key").distinct(), "line-held")
-    pairs = held.filter("indexed").select("key", F.col("line_id").alias("a")).join(held.select("key", F.col("line_id").alias("b")), "key").filter("a <> b")
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
-    wanted = stored(pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct(), "line-wanted")
+    wanted = stored(held.select("line_id").distinct(), "line-wanted")
     texts = lines.withColumn("line_id", F.xxhash64("line")).join(small(wanted, wanted.count()), "line_id").distinct()
     texts = stored(texts, "line-texts")
-    both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b")
-    both = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter("x <> y")
-    return both.filter(within(F.col("x"), F.col("y"), edits)).distinct()
+    spelled = held.join(texts, "line_id")
+    x, y = F.col("x"), F.col("y")
+    probed = spelled.filter("indexed").select("key", F.col("line").alias("x")).join(
+        spelled.select(F.col("key"), F.col("line").alias("y"), F.col("indexed").alias("both")), "key")
+    # Two lines that are indexed by one key meet twice there; once is enough.
+    near = (x != y) & (F.abs(F.char_length(x) - F.char_length(y)) <= edits) & (~F.col("both") | (x < y)) & within(x, y, edits)
+    return stored(probed.filter(near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-near")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_FUZZY) -> DataFrame:
