@@ -181,7 +181,7 @@ def test_line_dedup(spark, empty):
     found = line_dedup.line_dedup(docs)
     assert {r.doc_id: r.removed for r in found.collect()} == want
     cut = {r.doc_id: r.text for r in line_dedup.without_lines(docs, found).collect()}
-    assert cut[1] == "\n" and cut[4] is None and cut[6] == "another line that is long enough to be compared"
+    assert cut[1] == "short\n" and cut[4] is None and cut[6] == "another line that is long enough to be compared"
     assert line_dedup.line_dedup(empty).count() == 0
 
 
