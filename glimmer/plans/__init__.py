@@ -1 +1 @@
-"""Plans of the engine."""
+"""Plans of the engine: bridge tables, registered queries, sessions."""

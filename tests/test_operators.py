@@ -258,3 +258,59 @@ def test_streams(spark, tmp_path):
     assert spark.table("drifted").filter("outside").count() == 50
     run_stream(windows.live_linker(src(), 1.0, 1).writeStream.outputMode("append").format("memory").queryName("linked").start())
     assert spark.table("linked").select("particle").distinct().count() == 1 and spark.table("linked").count() == 100
+
+
+def test_selection(spark, tmp_path):
+    from glimmer.operators import selection as sel
+
+    assert sel.camera_map({"camera_map": [1, 0, 0, 1]}, None) == ([1, 0, 0, 1], "the record's own map")
+    assert sel.camera_map({"orientation": 1, "frame_px": 512}, {"orientation": 1, "frame_px": 1024, "matrix": [2.0, 0, 0, 2.0]})[0] == [1.0, 0, 0, 1.0]
+    assert sel.camera_map({"orientation": 1}, {"orientation": 2})[0] is None
+    out, notes = sel.settings_from({"a": {"min_distance_nm": 500, "pixel_size_nm": 100, "box": 7}}, by_hand=False)
+    assert out == {"distance_um": 0.5, "box": 7} and len(notes) == 2
+    df = spark.createDataFrame([(0, 0, 1.0, 1.0)], "loc long, frame long, x double, y double")
+    assert sel.resolved({"x": (0, 1), "z": (0, 1)}, df) == ({"x": (0, 1)}, ["z"]) and sel.resolved({"x": (0, 1)}, None) == ({}, ["x"])
+    assert sel.previous_run(["analysis_2", "analysis_10", "x"]) == "analysis_10" and sel.previous_run(["analysis_2", "2026-01-01_100000_loc"]) == "2026-01-01_100000_loc"
+    assert sel.layer_name("mobile", True) == "smlm_render_mobile_merged"
+    cache = sel.LinkCache(str(tmp_path))
+    a, b = cache.link(df, 1.0), cache.link(df, 1.0)
+    assert a.inputFiles() == b.inputFiles() and cache.key(df, search=1.0) != cache.key(df, search=2.0)
+    tip = sel.tooltip(spark.createDataFrame([(1, 0.5, 2)], "particle long, d double, n long"), spark.createDataFrame([(1, 3), (1, 7)], "particle long, frame long"), 1).first()
+    assert (tip.start, tip.end, tip.span, tip.points, tip.d) == (3, 7, 5, 2, 0.5)
+    t = spark.createDataFrame([(1, 0, 1.0, 1.0, 5.0, 9.0), (1, 1, 1.0, 1.0, 5.0, 9.0), (2, 0, 2.0, 2.0, 5.0, 9.0)], "particle long, frame long, x double, y double, sigma double, photons double")
+    shown = sel.render_table(t, tracks.merge(t, t.filter("particle = 1").select("particle")))
+    assert shown.agg(F.sum("weight")).first()[0] == 3.0 and shown.count() == 2
+
+
+def test_growth_record(spark, tmp_path):
+    from glimmer.operators import growth
+
+    m = growth.identity((5.0, 5.0), 10.0)
+    n = growth.QuadMap([(5.5, 5.0), (11.0, 0.0), (0.0, 10.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)], (5.0, 5.0), 10.0)
+    growth.save_record(str(tmp_path / "g.json"), [0.0, 10.0], [m, n], {"rms": 0.1})
+    times, maps, stats = growth.load_record(str(tmp_path / "g.json"))
+    assert stats == {"rms": 0.1} and growth.map_at(times, maps, 5.0).coef[1] == (10.5, 0.0) and growth.map_at(times, maps, 99.0) == n
+    df = spark.createDataFrame([(1, 0, 5.0, 5.0), (1, 1, 7.0, 6.0)], "particle long, frame long, x double, y double")
+    rows = growth.mapped_rows(df, n).orderBy("frame").collect()
+    assert rows[1].x_final - rows[0].x_final == pytest.approx(2.2) and rows[1].x_local - rows[0].x_local == pytest.approx(2.0)
+    along, across = scalars.strain(n.jacobian(F.col("x"), F.col("y")), 0.0)
+    r = df.select(along.alias("a"), across.alias("b"), scalars.nice_length(F.lit(170.0)).alias("n"), scalars.blur_coefficient(F.lit(2.0)).alias("c"), scalars.time_label(F.lit(3725.0), F.lit(4000.0)).alias("t")).first()
+    assert r.a == pytest.approx(0.1) and abs(r.b) < 1e-12 and r.n == 200.0 and r.c == pytest.approx(1 / 6) and r.t == "01:02:05"
+    image = np.zeros((20, 20))
+    image[5, 5] = 1.0
+    frames = spark.createDataFrame([(k, 20, 20, image.tobytes()) for k in range(4)], tables.STACK_SCHEMA)
+    moved = register.virtual_shift(frames, spark.createDataFrame([(k, 2.0, 1.0) for k in range(4)], "frame int, dx double, dy double")).first()
+    assert np.frombuffer(bytes(moved["pixels"])).reshape(20, 20)[6, 7] == 1.0
+    assert {r.n for r in register.averaged(frames, 3).collect()} == {3, 1}
+    angle, coherence = register.principal_axis(np.sin(np.arange(40))[None, :] * np.ones((40, 1)))
+    assert abs(abs(angle) - math.pi / 2) < 0.05 and coherence > 0.9
+    x, y = np.meshgrid(np.arange(30.0), np.arange(30.0))
+    back = register.warp(x + 2 * y, np.array(m.coef), (5.0, 5.0), 10.0)
+    assert np.allclose(back, x + 2 * y)
+
+
+def test_synthetic(spark):
+    df = tables.synthetic_acquisition(spark, 50, 100, 64.0, 0.01, 10.0)
+    assert df.filter("frame < 0 OR frame > 99").count() == 0 and df.select("particle").distinct().count() == 50
+    movie = spark.createDataFrame([(0, 1, 1, 2.0), (1, 1, 1, 3.0)], "movie_frame int, row int, col int, value double")
+    assert sinks.projection(movie).first()["value"] == 5.0 and sinks.projection(movie, True).first()["value"] == 3.0
