@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Points of one side of a subnet beyond which linking stops with an error.
 MOST_SUBNET = 30
@@ -155,11 +156,11 @@ def link_frames(frames: list[int], locs: list[int], xy: np.ndarray, search: floa
 
 
 def _with_memory(points: DataFrame, search: float, memory: int, by: tuple[str, ...]) -> DataFrame:
-    schema = points.schema.add("particle", "long")
+    schema = StructType([*points.schema.fields, StructField("particle", LongType())])
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["frame", "loc"])
         ids = link_frames(f["frame"].tolist(), f["loc"].tolist(), f[["x", "y"]].to_numpy(float), search, memory)
         return f.assign(particle=f["loc"].map(ids))
 
-    return points.groupBy(*(by or [F.lit(0)])).applyInPandas(run, schema)
+    return points.groupBy(*(by or [F.lit("all")])).applyInPandas(run, schema)

@@ -24,7 +24,7 @@ def query(sql: str | None = None):
     def register(fn):
         QUERIES[fn.__name__] = fn
         if sql:
-            ORACLE_SQL[fn.__name__] = sql
+            ORACLE_SQL[fn.__name__] = sql.replace(" round(", " 0.0 + round(")  # never a negative zero
         return fn
 
     return register
@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 def R(c: Column | str, name: str | None = None, places: int = 6) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    return F.round(col, places).alias(name or (c if isinstance(c, str) else ""))
+    return (F.round(col, places) + F.lit(0.0)).alias(name or (c if isinstance(c, str) else ""))
 
 
 PATHS = """steps AS (

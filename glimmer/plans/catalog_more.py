@@ -75,7 +75,7 @@ def _points(spark, d):
     i = F.col("event_id")
     frame = F.count(F.lit(1)).over(run) - 1 + F.sum(F.when(i % 17 == 0, 1).otherwise(0)).over(run)
     x, y = ((F.sum((i * k) % 201 - 100).over(run) / 1000.0) for k in (7919, 104729))
-    return e.select(i.alias("loc"), frame.alias("frame"), (x + F.col("user_id") % 50 * 20).alias("x"), (y + F.floor(F.col("user_id") / 50) * 20).alias("y"))
+    return e.select((F.col("user_id") % 50).alias("acquisition"), i.alias("loc"), frame.alias("frame"), (x + F.col("user_id") % 50 * 20).alias("x"), (y + F.floor(F.col("user_id") / 50) * 20).alias("y"))
 
 
 @query(f"""WITH {_POINTS}, s AS (SELECT *, CASE WHEN frame - lag(frame) OVER w = 1 THEN 0 ELSE 1 END AS new FROM pts WINDOW w AS (PARTITION BY particle ORDER BY frame)),
@@ -87,7 +87,7 @@ def link_consecutive(spark, d):
 
 @query(f"""WITH {_POINTS} SELECT loc, frame, first_value(loc) OVER (PARTITION BY particle ORDER BY frame) AS particle FROM pts""")
 def link_with_memory(spark, d):
-    return link.link(_points(spark, d), 1.0, memory=1).select("loc", "frame", "particle")
+    return link.link(_points(spark, d), 1.0, memory=1, by=("acquisition",)).select("loc", "frame", "particle")
 
 
 @query(f"""WITH {_POINTS} SELECT a.loc AS a, b.loc AS b, round(power(a.x - b.x, 2) + power(a.y - b.y, 2), 6) AS sq FROM pts a JOIN pts b ON b.frame = a.frame + 1 AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 1""")

@@ -23,7 +23,7 @@ def con():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else float(f"{v:.7g}")
+        return None if math.isnan(v) else float(f"{v:.7g}") + 0.0
     if isinstance(v, list | tuple):
         return tuple(plain(x) for x in v)
     return float(v) if type(v).__name__ == "Decimal" else v
