@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from glimmer.session import cut
+
 #: Points of one side of a subnet beyond which linking stops with an error.
 MOST_SUBNET = 30
 
@@ -109,7 +111,7 @@ def link(points: DataFrame, search: float, memory: int = 0, least: int = 1, by:
         roots = jump
         while True:  # pointer doubling: the number of rounds is the logarithm of the longest trajectory
             step = roots.select(F.col("loc").alias("root"), F.col("root").alias("next"))
-            new = roots.join(step, "root", "left").select("loc", F.coalesce("next", "root").alias("root")).checkpoint()
+            new = cut(roots.join(step, "root", "left").select("loc", F.coalesce("next", "root").alias("root")))
             changed = new.join(roots.withColumnRenamed("root", "old"), "loc").filter("root <> old").isEmpty()
             roots = new
             if changed:
