@@ -1,6 +1,7 @@
 """The registered queries of the domain operators, each with the SQL of an independent engine.
 
-``R`` rounds doubles to six places on both sides, as the order of sums differs.
+``R`` rounds doubles to six places on both sides, as the order of sums differs; where the
+values would lie on ties, both sides add the same 1.23e-8 before.
 """
 
 from __future__ import annotations
@@ -130,10 +131,10 @@ def linkable_d(spark, d):
 CAMERA = (1.02, -0.03, 0.05, 0.97)
 
 
-@query(f"""{B.sql('record')} SELECT t, round(1.02 * dx - 0.03 * dy, 6) AS dx, round(0.05 * dx + 0.97 * dy, 6) AS dy, round(sqrt(abs(1.02 * 0.97 + 0.03 * 0.05)), 6) AS scale, round(degrees(atan2(0.05 + 0.03, 1.02 + 0.97)), 6) AS rotation FROM record""")
+@query(f"""{B.sql('record')} SELECT t, round(1.02 * dx - 0.03 * dy + 1.23e-8, 6) AS dx, round(0.05 * dx + 0.97 * dy + 1.23e-8, 6) AS dy, round(sqrt(abs(1.02 * 0.97 + 0.03 * 0.05)), 6) AS scale, round(degrees(atan2(0.05 + 0.03, 1.02 + 0.97)), 6) AS rotation FROM record""")
 def camera_map_displacement(spark, d):
     x, y = S.matrix_map(F.col("dx"), F.col("dy"), CAMERA)
-    return B.record(spark, d).select("t", R(x, "dx"), R(y, "dy"), F.round(F.lit(S.matrix_scale(CAMERA)), 6).alias("scale"), F.round(F.lit(S.matrix_rotation(CAMERA)), 6).alias("rotation"))
+    return B.record(spark, d).select("t", R(x + 1.23e-8, "dx"), R(y + 1.23e-8, "dy"), F.round(F.lit(S.matrix_scale(CAMERA)), 6).alias("scale"), F.round(F.lit(S.matrix_rotation(CAMERA)), 6).alias("rotation"))
 
 
 @query(f"""{B.sql('locs')}, series AS (SELECT frame, avg(photons) AS dx FROM locs WHERE frame < 800 GROUP BY frame)
@@ -279,9 +280,9 @@ def _msd(spark, d):
     return T.msd(B.walks(spark, d), 5, 0.1)
 
 
-@query(f"{B.sql('walks')}, {MSD} SELECT particle, lag, round(msd, 8) AS msd_um2, pairs FROM msd")
+@query(f"{B.sql('walks')}, {MSD} SELECT particle, lag, round(msd + 1.23e-11, 8) AS msd_um2, pairs FROM msd")
 def msd_by_lag(spark, d):
-    return _msd(spark, d).select("particle", F.col("lag").cast("long").alias("lag"), R("msd_um2", places=8), "pairs")
+    return _msd(spark, d).select("particle", F.col("lag").cast("long").alias("lag"), R(F.col("msd_um2") + 1.23e-11, "msd_um2", 8), "pairs")
 
 
 FIT = f"""{B.sql('walks')}, {MSD}, f AS (SELECT particle, count(*) AS lags, regr_slope(msd, lag * 0.03) AS slope, regr_intercept(msd, lag * 0.03) AS intercept,
@@ -411,7 +412,7 @@ def _quad_sql() -> str:
     terms = ["1", "u", "v", "u * u", "u * v", "v * v"]
     x, y = (" + ".join(f"({c[k]}) * {t}" for t, c in zip(terms, COEF, strict=True)) for k in (0, 1))
     return f"""{B.sql('locs')}, n AS (SELECT frame, x, y, (x - 32) / 30 AS u, (y - 32) / 30 AS v FROM locs)
-SELECT frame, x, y, round({x}, 6) AS mx, round({y}, 6) AS my, round((30.2 + 1.6 * u + 0.2 * v) / 30, 6) AS jxx, round((-0.3 + 0.2 * u - 0.2 * v) / 30, 6) AS jxy FROM n"""
+SELECT frame, x, y, round({x} + 1.23e-8, 6) AS mx, round({y} + 1.23e-8, 6) AS my, round((30.2 + 1.6 * u + 0.2 * v) / 30, 6) AS jxx, round((-0.3 + 0.2 * u - 0.2 * v) / 30, 6) AS jxy FROM n"""
 
 
 @query(_quad_sql())
@@ -419,7 +420,7 @@ def quad_map_apply(spark, d):
     x, y = F.col("x"), F.col("y")
     mx, my = S.quad_map(x, y, COEF, (32, 32), 30)
     j = S.quad_jacobian(x, y, COEF, (32, 32), 30)
-    return B.locs(spark, d).select("frame", "x", "y", R(mx, "mx"), R(my, "my"), R(j[0], "jxx"), R(j[1], "jxy"))
+    return B.locs(spark, d).select("frame", "x", "y", R(mx + 1.23e-8, "mx"), R(my + 1.23e-8, "my"), R(j[0], "jxx"), R(j[1], "jxy"))
 
 
 PATCH = "px AS (SELECT vec_id, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, CAST(embedding[i + 1] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings))"

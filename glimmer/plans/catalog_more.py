@@ -41,11 +41,11 @@ def drift_binned_mean(spark, d):
 
 
 @query(f"""{B.sql('locs')}, f AS (SELECT frame, avg(x) AS dx, avg(y) AS dy FROM locs WHERE frame < 900 GROUP BY frame)
-SELECT l.frame, round(l.x * 100 - f.dx, 6) AS x_nm, round(l.y * 100 - f.dy, 6) AS y_nm, l.frame > 899 AS outside FROM locs l LEFT JOIN f ON f.frame = least(l.frame, 899)""")
+SELECT l.frame, round(l.x * 100 - f.dx + 1.23e-8, 6) AS x_nm, round(l.y * 100 - f.dy + 1.23e-8, 6) AS y_nm, l.frame > 899 AS outside FROM locs l LEFT JOIN f ON f.frame = least(l.frame, 899)""")
 def drift_corrected(spark, d):
     l = B.locs(spark, d).select("frame", (F.col("x") * 100).alias("x_nm"), (F.col("y") * 100).alias("y_nm"), "x", "y")  # noqa: E741
     f = l.filter("frame < 900").groupBy("frame").agg(F.avg("x").alias("dx"), F.avg("y").alias("dy"))
-    return D.corrected(l.drop("x", "y"), f, 900).select("frame", R("x_nm"), R("y_nm"), "outside")
+    return D.corrected(l.drop("x", "y"), f, 900).select("frame", R(F.col("x_nm") + 1.23e-8, "x_nm"), R(F.col("y_nm") + 1.23e-8, "y_nm"), "outside")
 
 
 SIGMA, GRID = 50.0, 10.0
