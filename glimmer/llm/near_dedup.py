@@ -8,11 +8,12 @@
    the probability of their weighted Jaccard similarity.  ``ROWS`` samples are a band.
    Texts with one word sequence are sampled and compared once.
 3. Texts that share a band are compared: all of a small bucket with one another, those of
-   a large bucket with one hub.  Texts of large buckets that have no link yet stay open:
-   they meet another hub of each of their buckets, and where few are open, all texts of the
-   bucket whose samples agree often enough for the threshold; then the buckets with open texts are also split by each later band.  What "few"
-   means grows with every round, so that in the end each open text has met all of its
-   buckets.
+   a large bucket with one hub.  A large bucket whose texts are in more than one class stays
+   open: the texts outside its largest class meet a hub of that class, and where they are few,
+   all texts of the bucket in other classes whose samples agree often enough for the threshold;
+   then the open buckets are also split by each later band.  Classes are found anew in each
+   round, and what "few" means grows, so that in the end the texts of a bucket are in one class
+   or all its pairs across classes were met.
 4. A comparison is exact: weighted Jaccard over all shingles of both whole texts.
 5. Classes are the connected components of the links.
 """
@@ -227,24 +228,26 @@ def _links(texts: DataFrame, docs: DataFrame, table) -> DataFrame:
     seen = pairs.select("a", "b")
     active, level = large.select("bucket", "u", "last"), 0
     while True:
-        linked = links.select(F.col("a").alias("u")).union(links.select("b")).distinct().withColumn("hit", F.lit(True))
-        state = active.join(linked, "u", "left").select("bucket", "u", "last", F.col("hit").isNull().alias("open"))
+        root = components(links).withColumnRenamed("node", "u")
+        state = active.join(root, "u", "left").select("bucket", "u", "last", F.coalesce("root", "u").alias("root"))
         if level:  # besides, the buckets split by each later band
-            again = state.join(banded, "u").select("bucket", "u", "last", "open", F.posexplode("bands").alias("j", "band")).filter("j > last")
-            state = state.unionByName(again.select(F.xxhash64("bucket", "j", "band").alias("bucket"), "u", F.col("j").alias("last"), "open"))
-        hashed = F.struct(F.xxhash64("u", "bucket").alias("h"), "u")
-        count = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("n_open"), F.min(hashed)["u"].alias("hub")).filter("n > 1 AND n_open > 0")
+            again = state.join(banded, "u").select("bucket", "u", "last", "root", F.posexplode("bands").alias("j", "band")).filter("j > last")
+            state = state.unionByName(again.select(F.xxhash64("bucket", "j", "band").alias("bucket"), "u", F.col("j").alias("last"), "root"))
+        hashed = F.struct(F.xxhash64("u", "bucket", F.lit(level)).alias("h"), "u")
+        parts = state.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"), F.min(hashed)["u"].alias("hub"))
+        count = parts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root", "hub")).alias("main"))
+        count = count.select("bucket", "n", (F.col("n") - F.col("main.k")).alias("n_open"), F.col("main.root").alias("main"), F.col("main.hub").alias("hub")).filter("n_open > 0")
         count = stored(count, "near-open")
         if count.isEmpty():
             return links
         state = stored(state, "near-active")
         limit = OPEN_PAIRS * 16**level
         whole, big = count.filter(F.col("n") * F.col("n_open") <= limit), count.filter(F.col("n") * F.col("n_open") > limit)
-        all_ = state.join(whole.select("bucket"), "bucket").join(texts.select("u", "sketch"), "u")
+        all_ = state.join(whole.select("bucket", "main"), "bucket").join(texts.select("u", "sketch"), "u").withColumn("open", F.expr("root <> main"))
         equal = F.expr(f"aggregate(zip_with(mine, sketch, (x, y) -> if(x = y, 1, 0)), 0, (s, v) -> s + v) >= {LEAST_EQUAL}")
-        every = all_.filter("open").select("bucket", F.col("u").alias("a"), F.col("sketch").alias("mine")).join(all_.select("bucket", F.col("u").alias("b"), F.col("open").alias("also"), "sketch"), "bucket")
-        every = every.filter(F.expr("a < b OR (a > b AND NOT also)") & equal).select("a", "b", F.lit(0).alias("share"))
-        met = join_groups(state.filter("open"), big.select("bucket", "n", "hub"), ["bucket"], "n", total).filter("u <> hub").select(F.col("hub").alias("a"), F.col("u").alias("b"), _share(F.col("n")).alias("share"))
+        every = all_.filter("open").select("bucket", F.col("u").alias("a"), F.col("root").alias("own"), F.col("sketch").alias("mine")).join(all_.select("bucket", F.col("u").alias("b"), "root", F.col("open").alias("also"), "sketch"), "bucket")
+        every = every.filter(F.expr("own <> root AND (a < b OR NOT also)") & equal).select("a", "b", F.lit(0).alias("share"))
+        met = join_groups(state, big.select("bucket", "n", "main", "hub"), ["bucket"], "n", total).filter("root <> main").select(F.col("hub").alias("a"), F.col("u").alias("b"), _share(F.col("n")).alias("share"))
         rest = stored(join_groups(state, big.select("bucket", "n"), ["bucket"], "n", total).select("bucket", "u", "last"), "near-rest")
         new = _distinct(every.unionByName(met)).join(seen, ["a", "b"], "left_anti")
         new = stored(new, "near-pairs")
