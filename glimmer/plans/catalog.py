@@ -345,6 +345,12 @@ def render_gaussian_local(spark, d):
     return render.splat(l, 64, 64, 2, F.col("sigma_nm") / 100 / 4).select("row", "col", R("value"))
 
 
+@query(f"""{B.sql('locs')}, {SPLAT.replace(" WHERE frame < 50", "")} SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(sum(nx.g * ny.g), 6) AS value FROM nx JOIN ny USING (id) WHERE r BETWEEN 0 AND 127 AND c BETWEEN 0 AND 127 GROUP BY 1, 2""")
+def render_gaussian(spark, d):
+    """All localizations; ``render_gaussian_local`` is held to the first 50 frames by its SQL."""
+    return render.splat(B.locs(spark, d), 64, 64, 2, F.col("sigma_nm") / 100 / 4).select("row", "col", R("value"))
+
+
 MOVIE = f"""{B.sql('locs')}, b AS (SELECT {PIX}, CAST(frame // 300 AS INTEGER) AS movie_frame, CAST(count(*) AS DOUBLE) AS value FROM locs WHERE {IN_FIELD} GROUP BY 1, 2, 3)"""
 
 

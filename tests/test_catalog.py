@@ -42,3 +42,10 @@ def test_query(spark, con, name):
     for g, w in zip(got, want, strict=True):
         for a, b in zip(g, w, strict=True):
             assert a == b or isinstance(a, float) and abs(a - b) <= 2e-6 * max(1, abs(b)), (g, w)
+
+
+def test_render_gaussian_uses_all_rows(spark):
+    """Every localization adds 1, or less where its Gaussian leaves the field."""
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    total = sum(r.value for r in catalog.QUERIES["render_gaussian"](spark, SF).collect())
+    assert 0.95 * n < total <= n + 0.01
