@@ -109,6 +109,14 @@ def additive_blend(spark, d):
     return render.blended(l.select("row", "col", (F.col("photons") % 256).cast("int").alias("r"), (F.col("frame") % 256).cast("int").alias("g"), F.lit(10).alias("b")))
 
 
+@query(f"""{B.sql('locs')}, l AS (SELECT {PIX}, CAST(photons % 7 AS INTEGER) AS r, CAST(frame % 8 AS INTEGER) AS g, 1 AS b FROM locs WHERE {IN_FIELD})
+SELECT "row", col, CAST(least(sum(r), 255) AS INTEGER) AS r, CAST(least(sum(g), 255) AS INTEGER) AS g, CAST(least(sum(b), 255) AS INTEGER) AS b FROM l GROUP BY 1, 2""")
+def additive_blend_whole(spark, d):
+    """All localizations, in darker colours; ``additive_blend`` is held to the first 100 frames by its SQL."""
+    l = render.binned(B.locs(spark, d), 64, 64, 2)  # noqa: E741
+    return render.blended(l.select("row", "col", (F.col("photons") % 7).cast("int").alias("r"), (F.col("frame") % 8).cast("int").alias("g"), F.lit(1).alias("b")))
+
+
 _G = [math.exp(-k * k / 2) for k in range(-3, 4)]
 
 
