@@ -113,23 +113,34 @@ def _candidates(sample: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in best.select("h").collect()], np.int64).view(np.uint64)
 
 
-def _cover(hits: np.ndarray, toxic: np.ndarray) -> list[int]:
-    """Greedy choice of columns: each covers toxic rows that fewer than two chosen ones cover,
-    and none says nearly the same as another."""
+def _cover(hits: list[np.ndarray], width: int, toxic: np.ndarray) -> list[int]:
+    """Greedy choice of candidates: each covers toxic rows that fewer than two chosen ones cover,
+    and none says nearly the same as another.  ``hits`` are the candidates of each row."""
+    cols = np.concatenate(hits)
+    rows = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+    by = np.argsort(cols, kind="stable")
+    first = np.searchsorted(cols[by], np.arange(width + 1))
+    rows_of = rows[by]
+
+    def among(some: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([hits[i] for i in some] + [cols[:0]]), minlength=width)
+
     chosen: list[int] = []
-    times = np.zeros(len(hits))
-    clean = hits[~toxic].sum(0)
-    size = hits.sum(0)
-    usable = np.ones(hits.shape[1])
+    times = np.zeros(len(hits), np.int64)
+    size = np.bincount(cols, minlength=width)
+    open_ = among(np.flatnonzero(toxic))
+    clean = size - open_
+    usable = np.ones(width, bool)
     while len(chosen) < ENTRIES and usable.any():
-        gain = (hits[toxic & (times < 2)].sum(0) - 5 * clean) * usable
+        gain = (open_ - 5 * clean) * usable
         k = int(np.argmax(gain))
         if gain[k] < 3:
             break
         chosen.append(k)
-        times += hits[:, k]
-        shared = hits[:, k] @ hits
-        usable[shared > 0.8 * np.maximum(size, size[k])] = 0
+        own = rows_of[first[k] : first[k + 1]]
+        times[own] += 1
+        open_ -= among(own[toxic[own] & (times[own] == 2)])
+        usable[among(own) > 0.8 * np.maximum(size, size[k])] = False
     return chosen
 
 
@@ -190,15 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(np.zeros(0, np.uint64), np.append(np.zeros(len(PATTERNS)), -2.0))
     y = np.array([r[2] for r in rows])
     extra = np.stack([np.frombuffer(bytes(r[1]), np.float32) for r in rows])
-    # Candidates are numbered by support; a dense matrix of the first ones stays small.
-    most = min(len(found), 2000)
-    hits = np.zeros((len(rows), most), np.uint8)
-    for i, r in enumerate(rows):
-        c = order[np.frombuffer(bytes(r[0]), np.int32)]
-        hits[i, c[c < most]] = 1
-    hits = hits.astype(np.float32)
-    chosen_columns = sorted(_cover(hits, y == 1), key=lambda c: found[c])
-    x = hits[:, chosen_columns]
+    hits = [order[np.frombuffer(bytes(r[0]), np.int32)] for r in rows]  # candidates are numbered by support
+    chosen_columns = sorted(_cover(hits, len(found), y == 1), key=lambda c: found[c])
+    x = np.stack([np.isin(chosen_columns, h) for h in hits]).astype(np.float32)
     votes = np.concatenate([x, (extra > [0.3, 0.2, 0.2]).astype(np.float32)], 1)
     post = label_model(votes, x.shape[1])
     weights = fit_newton(np.concatenate([x, extra], 1), post, l2=1e-5)

@@ -320,3 +320,19 @@ def test_toxicity(spark, empty):
     assert sum(p == y for p, y in held) >= 0.97 * len(held) and out[9000] == out[9001] == 0
     nothing = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score(docs, toxicity.train(docs, nothing)).filter("predicted = 1").count() == 0
+
+
+def test_toxicity_of_rare_words(spark):
+    """A toxic word that few rows have counts also where over 2,000 candidates are more frequent."""
+    own = random.Random(5)
+    letters = lambda: "".join(own.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    usual, bad = [letters() for _ in range(300)], [letters() for _ in range(2500)]
+    text = lambda *more: " ".join([*own.sample(usual, 20), *more])
+    deck = [w for _ in range(10) for w in own.sample(bad, len(bad))]
+    rows = [(text(*deck[50 * i : 50 * i + 50]), 1) for i in range(500)]
+    rows += [(text("zqxjkvbrw"), 1) for _ in range(6)] + [(text(), 0) for _ in range(3000)]
+    t = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, toxic int").cache()
+    model = toxicity.train(t.select("doc_id", "text"), t.select("doc_id", "toxic"))
+    out = {r.doc_id: r.predicted for r in toxicity.score(t.select("doc_id", "text"), model).collect()}
+    assert [out[i] for i in range(500, 506)] == [1] * 6
+    assert sum(out[i] for i in range(506, 3506)) == 0
