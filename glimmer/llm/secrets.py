@@ -3,7 +3,8 @@
 Everything is a SQL expression.  Places of matches come from the lengths of the
 pieces between them, in code points.  Two first-order Markov models, of random
 strings and of ordinary identifiers, are counted from labelled samples; a token is a
-secret where the logarithm of the likelihood ratio exceeds a threshold.  Such spans
+secret where the logarithm of the likelihood ratio exceeds a threshold, or that of a
+stretch of it does so by the logarithm of the token's length.  Such spans
 are added only where they overlap no base span.
 """
 
@@ -25,7 +26,7 @@ KINDS = ("assign", "access", "hex", "markov")
 LEAST_ASSIGNED = 12
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{12,}"
 #: Logarithm of the likelihood ratio from which a token is a secret (a prior of one in 3000).
 THRESHOLD = 8.0
 #: Made labelled strings of either kind, and documents whose words are added as ordinary ones.
@@ -97,6 +98,7 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, text_co
         few = docs.select(F.col(text_col).alias("text")).orderBy(F.xxhash64("text")).limit(sample_docs)
         found = few.select(F.explode(F.regexp_extract_all(as_text("text"), F.lit(r"(?<![A-Za-z0-9])[A-Z]?[a-z]{4,}(?![A-Za-z0-9])"), F.lit(0))).alias("text"))
         out = out.unionByName(found.select("text", F.lit(False).alias("random")))
+        out = out.unionByName(found.select(F.upper("text").alias("text"), F.lit(False).alias("random")))  # shouted words
     return out
 
 
@@ -123,11 +125,19 @@ def train(samples: DataFrame) -> list[float]:
 def _random_spans(text: Column, ratios: list[float], threshold: float) -> Column:
     table = F.lit(ratios)
 
-    def score(token: Column) -> Column:
-        return F.aggregate(_pairs(token), F.lit(0.0), lambda s, p: s + F.element_at(table, p.cast("int")))
+    def random(token: Column) -> Column:
+        """By the whole token, or by its best stretch, which has as many places to begin as the token is long."""
+        start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("run"), F.lit(0.0).alias("best"))
+
+        def step(s: Column, p: Column) -> Column:
+            x = F.element_at(table, p.cast("int"))
+            run = F.greatest(s["run"] + x, F.lit(0.0))
+            return F.struct((s["total"] + x).alias("total"), run.alias("run"), F.greatest(s["best"], run).alias("best"))
+
+        return F.aggregate(_pairs(token), start, step, lambda s: (s["total"] > threshold) | (s["best"] > threshold + F.log(F.char_length(token))))
 
     tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    return _offsets(text, TOKEN, F.transform(tokens, lambda t: score(t) > threshold))
+    return _offsets(text, TOKEN, F.transform(tokens, random))
 
 
 def secret_spans(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

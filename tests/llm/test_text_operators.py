@@ -245,6 +245,14 @@ def test_secrets(spark, empty):
     assert spans.filter(F.size("spans") > 0).count() > 180
 
 
+def test_secrets_short_or_inside_a_path(spark):
+    path = "home/user/project/config/service/handler/manager/factory/builder/version/release/"
+    rows = [(1, "is xK9qZ2vB7mW4tR8p so"), (2, f"see {path}q7ZkX2vB9mW4tR8pJ3xQ/{path}index/table"), (3, f"see {path}{path}index/table"), (4, "internationalization get_user_name")]
+    ratios = secrets.train(secrets.labelled_samples(spark))
+    got = {r.doc_id: r.s for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id long, text string"), ratios).select("doc_id", secrets.spelled(F.col("spans")).alias("s")).collect()}
+    assert got == {1: "markov:3:19", 2: f"markov:4:{len(rows[1][1])}", 3: "", 4: ""}
+
+
 def test_chat(spark):
     texts = ["</s>[INST] ok [/INST]", "<|turn|>a<|sep|>\\<|end|>\n", "\\\\<s>\\", "<", "", None, "é\n[INST", "<<SYS>> x <</SYS>>"]
     rows = [(c, t, "assistant" if t % 2 else "user", x) for c in (1, 2) for t, x in enumerate(texts)]
