@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Every step is a minimum per node (combined map-side) and a join; nothing is
-collected, and each step's result is a table in the shared folder.
+Every step is a minimum per node (combined map-side) and a join in which a node with
+many links is broadcast instead of sent to one task; nothing is collected, and each
+step's result is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -9,23 +10,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import stored
+from glimmer.llm.common import join_groups, stored
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
+def _with_least(links: DataFrame, also: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) with m, the least b of their a (or a itself), and the table of m."""
+    least = F.min("b") if also is None else F.least(F.min("b"), F.first(also))
+    low = stored(links.groupBy("a").agg(least.alias("m"), F.count(F.lit(1)).alias("k")), "star-least")
+    total = low.agg(F.sum("k")).first()[0] or 0
+    return join_groups(links, low, ["a"], "k", total), low
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = _both(edges)
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    met, _ = _with_least(_both(edges), "a")
+    return met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    met, low = _with_least(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    moved = met.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 

@@ -3,11 +3,14 @@
 Texts are handled as one concatenated UTF-8 byte buffer per chunk.  Word and
 word-window hashes are polynomial prefix sums modulo 2**64, finished with a
 bijective mixer, so the cost is a few array passes per byte and no Python
-object is created per word.
+object is created per word.  Such sums can collapse on long regular strings, so words
+of more than ``LONG_WORD`` bytes are hashed by BLAKE2b, and nothing takes two texts or
+passages for equal by these sums alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +19,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text handled in one set of array passes (a longer text is one chunk).
 CHUNK_BYTES = 1 << 18
+#: Longer words are hashed by a digest.
+LONG_WORD = 64
 
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _WINDOW_BASE = (0xC2B2AE3D27D4EB4F | 1, 0xA0761D6478BD642F | 1)
@@ -125,10 +130,6 @@ class Words:
         np.cumsum(h * p[: len(h)], out=s[1:])
         return mix((s[b] - s[a]) * q[a] + (b - a).astype(U64))
 
-    def whole(self, which: int = 0) -> np.ndarray:
-        """Hash of each text's whole word sequence."""
-        return self.ranges(self.first[:-1], self.first[1:], which)
-
 
 def words(data: np.ndarray, bounds: np.ndarray, values: np.ndarray, hashes: int = 1) -> Words:
     """Split the texts ``data[bounds[i]:bounds[i + 1]]``; the first bound is 0."""
@@ -156,6 +157,10 @@ def words(data: np.ndarray, bounds: np.ndarray, values: np.ndarray, hashes: int
         np.cumsum(v * p[:n], out=s[1:])
         sums = s if sums is None else sums
         hs.append(mix((s[end] - s[start]) * q[start] + (end - start).astype(U64)))
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        spelled = (v[start[i] : end[i]] - U64(1)).astype(np.uint8).tobytes()
+        for h, x in zip(hs, np.frombuffer(hashlib.blake2b(spelled, digest_size=8 * hashes).digest(), U64), strict=True):
+            h[i] = x
     return Words(data, start, end, np.searchsorted(start, bounds), tuple(hs), sums)
 
 
