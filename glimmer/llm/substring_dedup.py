@@ -10,11 +10,12 @@ sequence also starts somewhere else.
 2. Runs of windows with recurring anchors are taken from the documents.  Equal runs
    are one passage with a multiplicity.
 3. Passages are confirmed: one of a multiplicity of two or more recurs whole; in the
-   others, windows are counted by 128-bit hashes over all passages.
+   others, windows are counted over all passages.  Passages and windows are told apart
+   by 128 bits of BLAKE2b over their bytes.
 4. The confirmed stretches are compiled into Aho-Corasick automata over word numbers,
    one for each shard of documents (a stretch goes to the shards whose documents may
    hold it), and the documents of the shard are streamed through: every occurrence
-   that the automaton locates is removed.
+   that the automaton locates is removed.  Words are numbered by their bytes.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ from glimmer.llm import textkit
 from glimmer.llm.common import arrow_chunks, i64, stored
 
 WINDOW, GRAM = 35, 8
-#: Bits of the anchor bitmap (16 MB) and hashes of one part of it.
-FILTER_BITS, FILTER_PARTS = 1 << 27, 128
+#: Bits of the anchor bitmap (16 MB) and parts of it.
+FILTER_BITS, FILTER_PARTS = 1 << 27, 1024
 #: Bytes of document text in one shard, about.
 SHARD_BYTES = 8 << 20
-#: Words of one automaton at most; they are numbered by code points.
-MOST_WORDS = 500_000
+#: Words of one automaton, about, and of one piece of a stretch; they are numbered by code
+#: points, of which there are a million.
+MOST_WORDS, PIECE = 500_000, 200_000
 U64 = np.uint64
 
 
@@ -88,11 +90,13 @@ def _bitmap(docs: DataFrame, window: int, gram: int) -> np.ndarray:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([np.packbits(b).tobytes() for b in parts.values()], pa.binary())], ["part", "bits"])
 
-    counts = docs.select("body").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     part = F.shiftright(F.col("h").bitwiseAND(FILTER_BITS - 1), int(np.log2(FILTER_BITS // FILTER_PARTS)))
+    # Each batch is combined already; dealt by part of the bitmap, the counting needs no further shuffle.
+    dealt = docs.select("body").mapInArrow(count, "h long, n long").withColumn("part", part).repartition("part")
+    counts = dealt.groupBy("part", "h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     size = len(out) // FILTER_PARTS
-    for k, bits in counts.repartition(FILTER_PARTS, part).mapInArrow(fill, "part int, bits binary").collect():
+    for k, bits in counts.mapInArrow(fill, "part int, bits binary").collect():
         out[k * size : (k + 1) * size] |= np.frombuffer(bytes(bits), np.uint8)
     return out
 
@@ -120,7 +124,7 @@ def _opened(docs: DataFrame, bitmap, window: int, gram: int, digest: bool) -> Da
     kept_type = f"id {docs.schema['id'].dataType.simpleString()}, n_words long, kept string, body string, runs {_RUN}"
 
     def scan(batches):
-        for rows, w in arrow_chunks(batches, "body", textkit.EXACT, 2):
+        for rows, w in arrow_chunks(batches, "body", textkit.EXACT):
             low, high, ok, _ = anchors(w, window, gram)
             at = np.flatnonzero(ok)
             at = at[_in(bitmap.value, low[at])]
@@ -132,10 +136,11 @@ def _opened(docs: DataFrame, bitmap, window: int, gram: int, digest: bool) -> Da
                 edge = np.flatnonzero(np.diff(doc)) + 1
                 a, b = zip(*(_merged(x, window) for x in np.split(at, edge)), strict=True)
                 a, b = np.concatenate(a), np.concatenate(b)
-                r1, r2 = i64(w.ranges(a, b, 0)), i64(w.ranges(a, b, 1))
                 raw = w.data.tobytes()
-                for d, s, e, x, y in zip((np.searchsorted(w.first, a, "right") - 1).tolist(), w.start[a].tolist(), w.end[b - 1].tolist(), r1.tolist(), r2.tolist(), strict=True):
-                    runs[d].append({"r1": x, "r2": y, "body": b" ".join(raw[s:e].split()).decode()})
+                for d, s, e in zip((np.searchsorted(w.first, a, "right") - 1).tolist(), w.start[a].tolist(), w.end[b - 1].tolist(), strict=True):
+                    body = b" ".join(raw[s:e].split())
+                    x, y = _digests([body]).tolist()[0]
+                    runs[d].append({"r1": x, "r2": y, "body": body.decode()})
             texts = rows.column(1).to_pylist()
             kept = [None if r else _out((t or "").encode().split(), digest) for r, t in zip(runs, texts, strict=True)]
             body = [t if r else None for r, t in zip(runs, texts, strict=True)]
@@ -144,6 +149,12 @@ def _opened(docs: DataFrame, bitmap, window: int, gram: int, digest: bool) -> Da
     return docs.select("id", "body").mapInArrow(scan, kept_type)
 
 
+def _digests(parts) -> np.ndarray:
+    """128 bits of each part's bytes, as a row of two longs."""
+    held = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts])
+    return np.frombuffer(held, np.int64).reshape(-1, 2)
+
+
 def _out(words: list[bytes], digest: bool) -> str:
     text = b" ".join(words)
     return hashlib.sha256(text).hexdigest() if digest else text.decode()
@@ -154,13 +165,17 @@ def _stretches(passages: DataFrame, window: int) -> DataFrame:
 
     def windows(named: bool):
         def run(batches):
-            for rows, w in arrow_chunks(batches, "body", textkit.EXACT, 2):
-                (h1, ok), (h2, _) = w.windows(window, 0), w.windows(window, 1)
-                at = np.flatnonzero(ok)
-                own = w.owner[at]
-                col = rows.column(0).to_numpy()[own]
-                rest = [pa.array(col), pa.array((at - w.first[own]).astype(np.int32))] if named else []
-                yield pa.RecordBatch.from_arrays([pa.array(i64(h1[at])), pa.array(i64(h2[at])), *rest], ["w1", "w2", "p", "at"][: 2 + len(rest)])
+            for rows in batches:
+                for p, body in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                    raw = body.encode()
+                    gaps = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32)  # a passage has single spaces
+                    start, end = np.append(0, gaps + 1), np.append(gaps, len(raw))
+                    n = len(start) - window + 1
+                    for k in range(0, n, 1 << 18):
+                        a, b = start[k : min(n, k + (1 << 18))], end[k + window - 1 : k + window - 1 + (1 << 18)]
+                        both = _digests(raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True))
+                        rest = [pa.array(np.full(len(a), p)), pa.array(np.arange(k, k + len(a), dtype=np.int32))] if named else []
+                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *rest], ["w1", "w2", "p", "at"][: 2 + len(rest)])
 
         return run
 
@@ -182,45 +197,48 @@ def _stretches(passages: DataFrame, window: int) -> DataFrame:
 
 
 class _Automata:
-    """Aho-Corasick automata over word numbers for the stretches of one shard."""
+    """Aho-Corasick automata over word numbers for the stretches of one shard.
+
+    A long stretch is compiled in pieces that overlap by a window less a word: they hold the
+    same windows.  An automaton has at most ``MOST_WORDS + PIECE`` different words.
+    """
 
-    def __init__(self, stretches: list[str]) -> None:
+    def __init__(self, stretches: list[str], window: int = WINDOW, most: int = MOST_WORDS, piece: int = PIECE) -> None:
         self.parts = []
         held, size = [], 0
         for s in stretches:
-            held.append(s)
-            size += 1 + s.count(" ")
-            if size >= MOST_WORDS:
-                self._add(held)
-                held, size = [], 0
+            words = s.encode().split(b" ")
+            for k in range(0, max(1, len(words) - window + 1), piece):
+                held.append(words[k : k + piece + window - 1])
+                size += len(held[-1])
+                if size >= most:
+                    self._add(held)
+                    held, size = [], 0
         if held:
             self._add(held)
 
-    def _add(self, stretches: list[str]) -> None:
-        seqs = []
-        for _, w in textkit.chunks(pa.array(stretches, pa.large_string()), textkit.EXACT):
-            seqs += [w.hashes[0][a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-        vocabulary = np.unique(np.concatenate(seqs))
+    def _add(self, stretches: list[list[bytes]]) -> None:
+        numbers: dict[bytes, int] = {}
+        for s in stretches:
+            for x in s:
+                numbers.setdefault(x, len(numbers) + 0xE000)
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for s in seqs:
-            machine.add_word(self._spell(vocabulary, s), len(s))
+        for s in stretches:
+            machine.add_word(self._spell(numbers, s), len(s))
         machine.make_automaton()
-        self.parts.append((vocabulary, machine))
+        self.parts.append((numbers, machine))
 
     @staticmethod
-    def _spell(vocabulary: np.ndarray, h: np.ndarray) -> str:
+    def _spell(numbers: dict[bytes, int], words: list[bytes]) -> str:
         """A code point for each word, past the surrogates; one not in the automaton is U+0001."""
-        at = np.searchsorted(vocabulary, h)
-        at[at == len(vocabulary)] = 0
-        code = np.where(vocabulary[at] == h, at + 0xE000, 1).astype("<u4")
-        return code.tobytes().decode("utf-32-le")
+        return np.fromiter((numbers.get(x, 1) for x in words), "<u4", len(words)).tobytes().decode("utf-32-le")
 
-    def locate(self, h: np.ndarray) -> np.ndarray:
+    def locate(self, words: list[bytes]) -> np.ndarray:
         """Which words any occurrence of a stretch covers."""
-        edge = np.zeros(len(h) + 1, np.int64)
-        for vocabulary, machine in self.parts:
+        edge = np.zeros(len(words) + 1, np.int64)
+        for numbers, machine in self.parts:
             longest: dict[int, int] = {}
-            for end, n in machine.iter(self._spell(vocabulary, h)):
+            for end, n in machine.iter(self._spell(numbers, words)):
                 if n > longest.get(end, 0):
                     longest[end] = n
             if longest:
@@ -263,22 +281,20 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for rows_in in batches:
             shard_in, kinds, texts = (rows_in.column(k).to_pylist() for k in (0, 1, 3))
             ids, n_words, removed, kept = [], [], [], []
-            for i, w in textkit.chunks(rows_in.column(3), textkit.EXACT):
-                for d in range(len(w.first) - 1):
-                    k = i + d
-                    if shard_in[k] != of:
-                        of, held, automata = shard_in[k], [], None
-                    if kinds[k] == 0:
-                        held.append(texts[k])
-                        continue
-                    if automata is None:
-                        automata, held = _Automata(held), []
-                    gone = automata.locate(w.hashes[0][w.first[d] : w.first[d + 1]])
-                    words = texts[k].encode().split()
-                    ids.append(k)
-                    n_words.append(len(words))
-                    removed.append(int(gone.sum()))
-                    kept.append(_out([x for x, g in zip(words, gone.tolist(), strict=True) if not g] if removed[-1] else words, digest))
+            for k, text in enumerate(texts):
+                if shard_in[k] != of:
+                    of, held, automata = shard_in[k], [], None
+                if kinds[k] == 0:
+                    held.append(text)
+                    continue
+                if automata is None:
+                    automata, held = _Automata(held, window), []
+                words = text.encode().split()
+                gone = automata.locate(words)
+                ids.append(k)
+                n_words.append(len(words))
+                removed.append(int(gone.sum()))
+                kept.append(_out([x for x, g in zip(words, gone.tolist(), strict=True) if not g] if removed[-1] else words, digest))
             if ids:
                 yield pa.RecordBatch.from_arrays([rows_in.column(2).take(pa.array(ids)), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept"])
 

@@ -129,3 +129,13 @@ def test_bounds_leave_no_pair_out(spark):
                 far += (i, j) in wanted
     assert near > 50 and met.filter("NOT linked").count() > 10
     assert far < near + n * n / 8
+
+
+def test_a_passage_of_more_words_than_code_points():
+    stretch = " ".join(f"w{i}" for i in range(1_200_000))
+    machines = substring_dedup._Automata([stretch])
+    assert len(machines.parts) > 1
+    words = ["other", *stretch.split(" ")[:300_000], "more"]
+    gone = machines.locate([x.encode() for x in words])
+    # The first piece is found whole, the second is not: it goes on.
+    assert not gone[0] and not gone[-1] and gone[1 : substring_dedup.PIECE].all()
