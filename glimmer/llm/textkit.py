@@ -95,6 +95,7 @@ class Words:
     first: np.ndarray  # per text, index of its first word; one more at the end
     hashes: tuple[np.ndarray, ...]
     sums: np.ndarray | None = None  # prefix sums behind the first hash
+    bounds: np.ndarray | None = None  # per text, its first byte; one more at the end
 
     def prefixes(self, k: int) -> np.ndarray:
         """Hash of the first k bytes of each word; 0 for shorter words."""
@@ -161,7 +162,7 @@ def words(data: np.ndarray, bounds: np.ndarray, values: np.ndarray, hashes: int
         spelled = (v[start[i] : end[i]] - U64(1)).astype(np.uint8).tobytes()
         for h, x in zip(hs, np.frombuffer(hashlib.blake2b(spelled, digest_size=8 * hashes).digest(), U64), strict=True):
             h[i] = x
-    return Words(data, start, end, np.searchsorted(start, bounds), tuple(hs), sums)
+    return Words(data, start, end, np.searchsorted(start, bounds), tuple(hs), sums, bounds)
 
 
 def chunks(column: pa.Array, values: np.ndarray, hashes: int = 1, most: int = CHUNK_BYTES):

@@ -3,10 +3,9 @@
 Voters: *lexicon* voters are words and word beginnings mined from a bounded sample
 of labelled rows (a greedy cover of the toxic ones, so that every entry adds
 documents of its own); *pattern* voters look at shouting, exclamation and
-repetition.  A generative label model gives every voter an accuracy on either
-class by expectation-maximisation and estimates the correlation of the voters
-within the classes, by which overlapping voters share their evidence.  Its
-posteriors label the sample; a linear classifier over the lexicon features and
+repetition.  A generative label model gives every voter its rates on either class
+and ties it to the voter it is correlated with most within the classes, both by
+expectation-maximisation.  Its posteriors label the sample; a linear classifier over the lexicon features and
 pattern statistics is trained on them and scores every whole text.
 
 Only text is an input of a score.
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.llm import textkit
-from glimmer.llm.common import arrow_chunks
+from glimmer.llm.common import arrow_chunks, stored
 from glimmer.llm.linear import fit_newton, sigmoid
 
 #: Labelled rows, at most, from which the model learns.
@@ -34,6 +33,8 @@ LEAST_TOXIC, LEAST_RATIO = 4, 20.0
 #: Bytes of the word beginnings that may be entries, besides whole words.
 BEGINNINGS = (7, 6, 5, 4)
 PATTERNS = ("shouting", "exclaiming", "stuttering")
+#: Voters are tied if their conditional mutual information, times the rows, is so much at least.
+LEAST_TIE = 5.0
 
 _UPPER = np.zeros(256, np.int32)
 _UPPER[65:91] = 1
@@ -56,10 +57,13 @@ def _patterns(w: textkit.Words) -> np.ndarray:
     n = np.maximum(np.diff(w.first), 1)
     caps = np.concatenate([[0], np.cumsum(_UPPER[w.data])])
     up = (caps[w.end] - caps[w.start] == w.end - w.start) & (w.end - w.start > 1)
+    # Neither looks beyond its own text, so that a score depends on nothing else.
     bang = np.zeros(len(w.start), bool)
-    bang[w.end < len(w.data)] = w.data[w.end[w.end < len(w.data)]] == 33
+    inside = w.end < w.bounds[1:][w.owner]
+    bang[inside] = w.data[w.end[inside]] == 33
     same = np.zeros(len(w.start), bool)
     same[1:] = w.hashes[0][1:] == w.hashes[0][:-1]
+    same[w.first[:-1][np.diff(w.first) > 0]] = False
 
     def share(v: np.ndarray) -> np.ndarray:
         s = np.concatenate([[0], np.cumsum(v)])
@@ -144,30 +148,78 @@ def _cover(hits: list[np.ndarray], width: int, toxic: np.ndarray) -> list[int]:
     return chosen
 
 
-def label_model(votes: np.ndarray, mined: int, rounds: int = 50) -> np.ndarray:
-    """Posterior of toxic for rows of votes, from EM with correlated voters.
+def _mutual(a11: np.ndarray, n1: np.ndarray, total: float) -> np.ndarray:
+    """Weighted mutual information (times the rows) of every pair of binary voters, from the
+    weights of joint and single votes."""
+    out = np.zeros_like(a11)
+    cells = (
+        (a11, n1[:, None], n1[None, :]),
+        (n1[:, None] - a11, n1[:, None], total - n1[None, :]),
+        (n1[None, :] - a11, total - n1[:, None], n1[None, :]),
+        (total - n1[:, None] - n1[None, :] + a11, total - n1[:, None], total - n1[None, :]),
+    )
+    for joint, p, q in cells:
+        joint = np.maximum(joint, 0)
+        out += joint * np.log(np.maximum(joint, 1e-12) * total / np.maximum(p * q, 1e-12))
+    return out
+
 
-    A voter votes toxic (1) or abstains (0); a row on which the first ``mined`` (lexicon)
-    voters all abstain carries the vote of one more voter, silence.  Starts from "toxic if
-    any lexicon voter says so", so that a pattern voter earns its accuracy from them.
+def _parents(gain: np.ndarray) -> np.ndarray:
+    """A maximum spanning forest: each voter's parent, or -1; weak ties are left out."""
+    n = len(gain)
+    parent, best = np.full(n, -1), np.full(n, -np.inf)
+    waiting = np.ones(n, bool)
+    at = 0
+    for _ in range(n):
+        waiting[at] = False
+        closer = waiting & (gain[at] > best)
+        best[closer], parent[closer] = gain[at][closer], at
+        if not waiting.any():
+            break
+        at = int(np.argmax(np.where(waiting, best, -np.inf)))
+    parent[best < LEAST_TIE] = -1
+    return parent
+
+
+def label_model(votes: np.ndarray, mined: int, rounds: int = 50) -> np.ndarray:
+    """Posterior of toxic for rows of votes, by expectation-maximisation of a generative model.
+
+    A voter says toxic (1) or abstains (0), and abstaining is no evidence; but a row on which
+    the first ``mined`` (lexicon) voters all abstain carries the vote of one more voter,
+    silence.  Within a class, a voter's vote depends on that of at most one other, its parent in
+    a maximum spanning forest of the conditional mutual information given the class; so the
+    parameters are, per class, each voter's rate and, for a tied voter, its rates where the
+    parent speaks and where it does not.  Voters that repeat one another then count as the one
+    thing they say.  Starts from "toxic if any lexicon voter says so", so that a pattern voter
+    earns its accuracy from them.
     """
-    n = len(votes)
-    silent = ~votes[:, :mined].any(1)
-    post = np.where(silent, 0.02, 0.98)
-    for _ in range(rounds):
-        a, b = post, 1 - post
+    n, k = votes.shape
+    votes = votes.astype(np.float64)
+    quiet = ~votes[:, :mined].any(1)
+    post = np.where(quiet, 0.02, 0.98)
+    parent = np.full(k, -1)
+    for step in range(rounds):
         share = np.clip(post.mean(), 0.001, 0.5)
-        on_toxic = (a @ votes + 0.2) / (a.sum() + 2)
-        on_clean = np.minimum((b @ votes + 0.002) / (b.sum() + 2), on_toxic)
-        # Correlation within the classes: what correlated voters say together counts less than its sum.
-        resid = votes - post[:, None] * on_toxic - (1 - post)[:, None] * on_clean
-        cov = resid.T @ resid / n
-        sd = np.sqrt(np.diag(cov)) + 1e-9
-        overlap = np.clip(cov / sd[:, None] / sd, 0, 1)
-        np.fill_diagonal(overlap, 0)
-        evidence = (votes * np.log(on_toxic / on_clean) / (1 + votes @ overlap)).sum(1)
-        quiet = np.log((a @ silent + 0.2) / (a.sum() + 2)) - np.log((b @ silent + 0.2) / (b.sum() + 2))
-        new = sigmoid(np.log(share / (1 - share)) + evidence + silent * min(quiet, 0.0))
+        sides = []
+        for q in (post, 1 - post):
+            weighted = votes * q[:, None]
+            sides.append((votes.T @ weighted, weighted.sum(0), q.sum(), (q * quiet).sum()))
+        if step % 5 == 0:
+            parent = _parents(sum(_mutual(*side[:3]) for side in sides))
+        tied = np.flatnonzero(parent >= 0)
+        p = parent[tied]
+        rates = []
+        for (both, one, total, _), seen in zip(sides, (0.2, 0.002), strict=True):
+            rate = (one + seen) / (total + 2)
+            # Where the parent is rarely heard, a tied voter's rates fall back on its own.
+            spoken = (both[tied, p] + 2 * rate[tied]) / (one[p] + 2)
+            silent = (one[tied] - both[tied, p] + 2 * rate[tied]) / (total - one[p] + 2)
+            rates.append((rate, spoken, silent))
+        own, spoken, silent = (np.maximum(np.log(a / b), 0.0) for a, b in zip(*rates, strict=True))
+        own[tied] = 0
+        said = votes[:, tied] * np.where(votes[:, p] > 0, spoken, silent)
+        nothing = np.log((sides[0][3] + 0.2) / (sides[0][2] + 2)) - np.log((sides[1][3] + 0.2) / (sides[1][2] + 2))
+        new = sigmoid(np.log(share / (1 - share)) + votes @ own + said.sum(1) + quiet * min(nothing, 0.0))
         if np.abs(new - post).max() < 1e-6:
             break
         post = new
@@ -185,7 +237,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .groupBy(F.col(id_col).alias("key")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
         .orderBy(F.xxhash64(F.col("key").cast("string"), F.lit("toxicity"))).limit(sample_rows)
     )
-    sample = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "key").select("body", "y")
+    met = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).join(F.broadcast(chosen), "key")
+    # One text of an id, so that repeated ids cannot make the sample larger.
+    sample = stored(met.groupBy("key").agg(F.min("body").alias("body"), F.max("y").alias("y")).select("body", "y"), "toxicity-sample")
     found = _candidates(sample)
     order = np.argsort(found)
     table = found[order]
