@@ -20,11 +20,12 @@ _TURNS = "array<struct<role:string,text:string>>"
 
 
 def field_paths(record: Column) -> Column:
-    """The nested field names of a record, without types: {a,b[{c}]}."""
+    """The nested field names of a record, without types: {a,b[{c>>>, each > closing the last
+    bracket that is open, so that records of different nesting differ."""
     shape = F.regexp_replace(F.schema_of_variant(record), r"OBJECT<", "{")
     shape = F.regexp_replace(shape, r"ARRAY<", "[")
     shape = F.regexp_replace(shape, r": (?:STRING|BIGINT|BOOLEAN|DOUBLE|FLOAT|VOID|DATE|VARIANT|TIMESTAMP_NTZ|TIMESTAMP|BINARY|UUID|DECIMAL\([0-9]+,[0-9]+\))", "")
-    return F.regexp_replace(shape, r"[>: ]", "")
+    return F.regexp_replace(shape, r"[: ]", "")
 
 
 def fingerprint(record: Column) -> Column:
@@ -50,8 +51,8 @@ def _role(raw: Column) -> Column:
     return out
 
 
-def _one(role: str, text: str):
-    return lambda r: F.array(_turn(_role(_value(r, f"$.{role}")), _value(r, f"$.{text}")))
+def _one(role: str, text: str, named=lambda c: c):
+    return lambda r: F.array(_turn(named(_value(r, f"$.{role}")), _value(r, f"$.{text}")))
 
 
 def _many(list_name: str, role: str, text: str):
@@ -69,20 +70,21 @@ def _instruction(r: Column) -> Column:
     return F.array(_turn("user", asked), _turn("assistant", _value(r, "$.output")))
 
 
-#: Field paths (in the order of names) and the mapping of records that have them.
+#: Field paths (in the order of names) and the mapping of records that have them; role and text
+#: are canonical already and stay as they are.
 LAYOUTS = {
-    "{role,text": _one("role", "text"),
-    "{content,role": _one("role", "content"),
-    "{from,value": _one("from", "value"),
-    "{messages[{content,role": _many("messages", "role", "content"),
-    "{conversations[{from,value": _many("conversations", "from", "value"),
-    "{turns[{role,text": _many("turns", "role", "text"),
-    "{completion,prompt": _fields(("user", "prompt"), ("assistant", "completion")),
-    "{prompt,response": _fields(("user", "prompt"), ("assistant", "response")),
-    "{answer,question": _fields(("user", "question"), ("assistant", "answer")),
-    "{prompt,response,system": _fields(("system", "system"), ("user", "prompt"), ("assistant", "response")),
-    "{instruction,output": _fields(("user", "instruction"), ("assistant", "output")),
-    "{input,instruction,output": _instruction,
+    "{role,text>": _one("role", "text"),
+    "{content,role>": _one("role", "content", _role),
+    "{from,value>": _one("from", "value", _role),
+    "{messages[{content,role>>>": _many("messages", "role", "content"),
+    "{conversations[{from,value>>>": _many("conversations", "from", "value"),
+    "{turns[{role,text>>>": _many("turns", "role", "text"),
+    "{completion,prompt>": _fields(("user", "prompt"), ("assistant", "completion")),
+    "{prompt,response>": _fields(("user", "prompt"), ("assistant", "response")),
+    "{answer,question>": _fields(("user", "question"), ("assistant", "answer")),
+    "{prompt,response,system>": _fields(("system", "system"), ("user", "prompt"), ("assistant", "response")),
+    "{instruction,output>": _fields(("user", "instruction"), ("assistant", "output")),
+    "{input,instruction,output>": _instruction,
 }
 
 
