@@ -95,7 +95,10 @@ def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, text_co
         F.col("id") % 5 == 2, F.concat(parts[0], *[F.initcap(p) for p in parts[1:]])).when(F.col("id") % 5 == 3, F.concat_ws("/", *parts)).otherwise(F.upper(F.concat_ws("_", *parts)))
     out = rows.select(random.alias("text"), F.lit(True).alias("random")).unionByName(rows.select(ordinary.alias("text"), F.lit(False).alias("random")))
     if docs is not None:
-        few = docs.select(F.col(text_col).alias("text")).orderBy(F.xxhash64("text")).limit(sample_docs)
+        # The texts with the least hashes: only hashes are sorted, and equal texts count once.
+        hashed = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+        most = hashed.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+        few = hashed.filter(F.col("h") <= F.lit(most)).groupBy("h").agg(F.min("text").alias("text"))
         found = few.select(F.explode(F.regexp_extract_all(as_text("text"), F.lit(r"(?<![A-Za-z0-9])[A-Z]?[a-z]{4,}(?![A-Za-z0-9])"), F.lit(0))).alias("text"))
         out = out.unionByName(found.select("text", F.lit(False).alias("random")))
         out = out.unionByName(found.select(F.upper("text").alias("text"), F.lit(False).alias("random")))  # shouted words
