@@ -25,8 +25,17 @@ SAMPLE_ROWS = 10_000
 #: Hashed features of pairs of word shapes, besides the shapes themselves.
 BINS = 512
 SHAPES = 64
-#: What is assumed of every labeller: it objects to so many bad and so few good documents.
+#: What tells the classes apart: a labeller objects to so many bad and so few good documents.
+#: (Without these bounds the estimation calls the larger half of the documents bad; with 0.05 for
+#: good ones it keeps a quarter of the bad ones of the labelled test rows.)
 LEAST_RECALL, MOST_FALSE = 0.05, 0.005
+#: How far a good vote counts, which clears a text of the one fault looked for.
+CLEARED = 0.15
+#: Words of the blocks in which distinct words are counted, so that the share does not fall with
+#: the length, and least words (or runs) from which there is something to count.
+BLOCK, LEAST = 200, 20
+#: Bins of the shares of distinct runs and of distinct words among the features.
+LEVELS = 10
 #: Labellers, in the order of their votes: (statistic, bad if beyond, good if within, bad is high).
 LABELLERS = (
     ("symbols", 0.05, 0.01, True),  # share of symbol bytes
@@ -34,11 +43,13 @@ LABELLERS = (
     ("pipes", 0.15, 0.02, True),  # column separators for each word
     ("stutter", 0.15, 0.03, True),  # words equal to the one before
     ("distinct_runs", 0.40, 0.80, False),  # share of distinct five-word runs
-    ("distinct_words", 0.15, 0.30, False),  # share of distinct words
+    ("distinct_words", 0.15, 0.30, False),  # share of distinct words in blocks of 200
     ("exclamations", 0.25, 0.05, True),  # exclamation marks for each word
     ("marks", 0.60, 0.30, True),  # words that end in a symbol or an exclamation mark
 )
 
+WIDTH = SHAPES + BINS + 2 * LEVELS
+
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"$%&*#@^~<>{}[]\\=+_`")] = True
 _UPPER = np.zeros(256, bool)
@@ -75,18 +86,17 @@ def statistics(w: textkit.Words) -> tuple[dict[str, np.ndarray], np.ndarray]:
     caps = (up > 1) & (low == 0)
     symbol = sym > 0
     owner = w.owner
-    spread = textkit.mix(owner.astype(np.uint64) + np.uint64(1))
 
-    def distinct(hashes: np.ndarray, own: np.ndarray, of: np.ndarray) -> np.ndarray:
-        _, i = np.unique(hashes ^ spread[: len(hashes)] if own is owner else hashes ^ own, return_index=True)
+    def distinct(hashes: np.ndarray, part: np.ndarray, of: np.ndarray) -> np.ndarray:
+        _, i = np.unique(hashes ^ textkit.mix(part.astype(np.uint64) + np.uint64(1)), return_index=True)
         return np.bincount(of[i], minlength=len(n))
 
     runs, ok = w.windows(5)
     at = np.flatnonzero(ok)
-    _, i = np.unique(runs[at] ^ spread[at], return_index=True)
     n_runs = np.bincount(owner[at], minlength=len(n))
-    run_share = np.where(n_runs >= 20, np.bincount(owner[at[i]], minlength=len(n)) / np.maximum(n_runs, 1), np.nan)
-    word_share = np.where((n >= 20) & (n <= 2000), distinct(h, owner, owner) / at_least_one, np.nan)
+    run_share = np.where(n_runs >= LEAST, distinct(runs[at], owner[at], owner[at]) / np.maximum(n_runs, 1), np.nan)
+    block = owner * (int(n.max(initial=0)) // BLOCK + 1) + (np.arange(len(h)) - first[owner]) // BLOCK
+    word_share = np.where(n >= LEAST, distinct(h, block, owner) / at_least_one, np.nan)
     size = np.maximum(_per_text(w.end - w.start, first), 1)
     stats = {
         "symbols": _per_text(sym, first) / size,
@@ -111,27 +121,32 @@ def votes(stats: dict[str, np.ndarray]) -> np.ndarray:
     return np.stack(out, 1)
 
 
-def features(w: textkit.Words, shape: np.ndarray) -> np.ndarray:
-    """Shares of word shapes and of hashed pairs of neighbouring shapes."""
+def features(w: textkit.Words, stats: dict[str, np.ndarray], shape: np.ndarray) -> np.ndarray:
+    """Shares of word shapes and of hashed pairs of neighbouring shapes, and how far the shares
+    of distinct runs and of distinct words reach."""
     n_texts = len(w.first) - 1
     owner = w.owner
     n = np.maximum(np.diff(w.first), 1)[:, None]
     one = np.bincount(owner * SHAPES + shape, minlength=n_texts * SHAPES).reshape(n_texts, SHAPES)
-    x = np.zeros((n_texts, SHAPES + BINS), np.float32)
+    x = np.zeros((n_texts, WIDTH), np.float32)
     x[:, :SHAPES] = one / n
     if len(shape) > 1:
         pair = ((shape[:-1] * SHAPES + shape[1:]) * 2654435761 >> 7) % BINS
         inside = owner[1:] == owner[:-1]
         two = np.bincount(owner[1:][inside] * BINS + pair[inside], minlength=n_texts * BINS).reshape(n_texts, BINS)
-        x[:, SHAPES:] = two / n
+        x[:, SHAPES : SHAPES + BINS] = two / n
+    for k, name in enumerate(("distinct_runs", "distinct_words")):
+        short_of = 1 - np.nan_to_num(stats[name], nan=1.0)  # what is missing from all distinct
+        low = SHAPES + BINS + k * LEVELS
+        x[:, low : low + LEVELS] = np.clip(short_of[:, None] * LEVELS - np.arange(LEVELS), 0, 1)
     return x
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Posterior of bad for each vote pattern, by expectation-maximisation over the counts.
 
-    Starts from "any labeller objects"; bounds on how often a labeller objects to good
-    and to bad documents fix the meaning of the two classes.
+    Each labeller's rates of votes on bad and on good documents are estimated, within bounds
+    that fix the meaning of the two classes.  Starts from "any labeller objects".
     """
     bad, good = (patterns == 2).sum(1), (patterns == 1).sum(1)
     post = np.where(bad > 0, 0.9, np.where(good > 0, 0.05, 0.3)).astype(float)
@@ -145,8 +160,8 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) ->
                 c = np.array([q[patterns[:, k] == v].sum() for v in range(3)])
                 rates.append((c + [0.5, 0.5, 0.05]) / (c.sum() + 1.05))
             rates[0][2], rates[1][2] = max(rates[0][2], LEAST_RECALL), min(rates[1][2], MOST_FALSE)
-            # Abstaining says nothing, and a good vote only clears a text of the one fault looked for.
-            ratio = np.clip(np.log(rates[0] / rates[1]), [0.0, -0.15, -6.0], [0.0, 0.0, 6.0])
+            # Abstaining says nothing: it comes from a lack of words.
+            ratio = np.clip(np.log(rates[0] / rates[1]), [0.0, -CLEARED, -6.0], [0.0, 0.0, 6.0])
             logit += ratio[patterns[:, k]]
         new = sigmoid(logit)
         if np.abs(new - post).max() < 1e-6:
@@ -178,19 +193,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     def sampled(batches):
         for _, w in arrow_chunks(batches, "body", textkit.EXACT):
             stats, shape = statistics(w)
-            x = features(w, shape)
+            x = features(w, stats, shape)
             code = votes(stats) @ base
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array(code)], ["x", "pattern"])
 
     part = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("quality")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(n, 1)))
     rows = docs.filter(part).select(F.col(text_col).alias("body")).mapInArrow(sampled, "x binary, pattern long").limit(2 * sample_rows).collect()
-    x = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.float32).reshape(len(rows), SHAPES + BINS)
+    x = np.frombuffer(b"".join(bytes(r[0]) for r in rows), np.float32).reshape(len(rows), WIDTH)
     y = 1 - posterior[[r[1] for r in rows]] if rows else np.zeros(0)
     return fit(x, y, l2=1e-4, steps=400)
 
 
 def score_chunk(w: textkit.Words, weights: np.ndarray) -> np.ndarray:
-    x = features(w, statistics(w)[1])
+    x = features(w, *statistics(w))
     s = sigmoid(x @ weights[:-1].astype(np.float32) + weights[-1])
     return np.where(np.diff(w.first) > 0, s, 0.0)
 
