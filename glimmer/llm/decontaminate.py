@@ -9,8 +9,9 @@ place of the word in the window bounds the start, the length of the document
 bounds the end, and what is left is compared by a rolling hash of the window and
 then word by word, byte by byte.
 
-The benchmark is taken in blocks of at most ``block_words`` words, so what is
-sent to the executors never exceeds a fixed size; every block sees every document.
+The benchmark is taken in blocks of at most ``block_words`` words (or one item), so what is
+sent to the executors never exceeds a fixed size; every block sees every document.  Where
+there are several, the hits of a block are written before the next one is sent.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.llm import textkit
-from glimmer.llm.common import arrow_chunks, as_text, batch
+from glimmer.llm.common import arrow_chunks, as_text, batch, stored
 
 #: Words of one benchmark block (about 60 bytes each once indexed).
 BLOCK_WORDS = 200_000
@@ -115,13 +116,14 @@ class Block:
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int, most: int) -> Iterator[Block]:
     """The benchmark in blocks; only one block is held at a time."""
-    held, n = [], 0
+    held, n = [], 0  # a text has no more words than half its characters
     for item, text in benchmark.select(F.col(id_col).cast("string"), as_text(text_col)).distinct().toLocalIterator():
-        held.append((item if item is not None else "", text))
-        n += 1 + text.count(" ")
-        if n >= most:
+        more = (len(text) + 1) // 2
+        if held and n + more > most:
             yield Block(held, size)
             held, n = [], 0
+        held.append((item if item is not None else "", text))
+        n += more
     if held:
         yield Block(held, size)
 
@@ -183,52 +185,70 @@ def decontaminate(
     out = f"{id_col} {kind}, n_words long, n_hit long, n_items long, items array<string>, contaminated boolean"
     docs = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
 
-    def scan(blocks, raw: bool):
-        def run(batches):
-            for rows, w in arrow_chunks(batches, "body", textkit.FOLDED):
-                spans: list[list[int]] = [[] for _ in range(rows.num_rows)]
-                items: list[list[str]] = [[] for _ in range(rows.num_rows)]
-                for b in blocks:
-                    start, win = b.value.matches(w)
-                    doc = np.searchsorted(w.first, start, "right") - 1
-                    for d, s, x in zip(doc.tolist(), start.tolist(), win.tolist(), strict=True):
-                        a = s - int(w.first[d])
-                        spans[d] += [a, a + int(b.value.length[x])]
-                        items[d].append(b.value.win[x][0])
-                n = np.diff(w.first)
-                if raw:
-                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(n), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["key", "sig", "n_words", "spans", "items"])
-                else:
-                    schema = pa.schema([(id_col, rows.schema.field(0).type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())])
-                    yield _finish(rows.column(0), n, spans, items, schema)
-
-        return run
+    schema = pa.schema([(id_col, pa.null()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())])
+
+    def finished(keys, n_words, spans: list, items: list) -> pa.RecordBatch:
+        return _finish(keys, n_words, spans, items, schema.set(0, pa.field(id_col, keys.type)))
+
+    def hits(block, w: textkit.Words) -> tuple[list[list[int]], list[list[str]]]:
+        spans: list[list[int]] = [[] for _ in range(len(w.first) - 1)]
+        items: list[list[str]] = [[] for _ in spans]
+        if block is not None:
+            start, win = block.matches(w)
+            doc = np.searchsorted(w.first, start, "right") - 1
+            for d, s, x in zip(doc.tolist(), start.tolist(), win.tolist(), strict=True):
+                a = s - int(w.first[d])
+                spans[d] += [a, a + int(block.length[x])]
+                items[d].append(block.win[x][0])
+        return spans, items
 
     def indexed(block: Block):
         counts = _count(docs, "body", held := spark.sparkContext.broadcast(block))
         held.destroy()
         return spark.sparkContext.broadcast(block.index(counts))
 
-    ready = []
-    for block in _blocks(benchmark, item_col, item_text_col, size, block_words):
-        ready.append(indexed(block))
-    if len(ready) <= 1:
-        return docs.mapInArrow(scan(ready, False), out)
-    # Several blocks: a scan for each, then the hits of a row meet by id and text digest.
+    found, last = None, None
     signed = docs.withColumn("sig", F.md5(as_text("body")))
-    parts = None
-    for b in ready:
-        hits = signed.mapInArrow(scan([b], True), f"key {kind}, sig string, n_words long, spans array<long>, items array<string>")
-        parts = hits if parts is None else parts.unionByName(hits)
+    blocks = _blocks(benchmark, item_col, item_text_col, size, block_words)
+    ahead = next(blocks, None)
+    while ahead is not None:
+        last, ahead = indexed(ahead), next(blocks, None)
+        if ahead is None and found is None:
+            break
+
+        def some(batches, held=last):
+            for rows, w in arrow_chunks(batches, "body", textkit.FOLDED):
+                spans, items = hits(held.value, w)
+                at = pa.array([bool(s) for s in spans])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["key", "sig", "spans", "items"]).filter(at)
+
+        part = signed.mapInArrow(some, f"key {kind}, sig string, spans array<long>, items array<string>")
+        part = stored(part.groupBy("key", "sig").agg(F.first("spans").alias("spans"), F.first("items").alias("items")), "leak-hits")
+        found = part if found is None else found.unionByName(part)
+        last.destroy()
+
+    if found is None:
+
+        def whole(batches):
+            for rows, w in arrow_chunks(batches, "body", textkit.FOLDED):
+                yield finished(rows.column(0), np.diff(w.first), *hits(last and last.value, w))
+
+        return docs.mapInArrow(whole, out)
+
+    # A row meets its hits, of which each block has one row for an id and a text.
+    def count(batches):
+        for rows, w in arrow_chunks(batches, "body", textkit.FOLDED):
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(np.diff(w.first))], ["key", "sig", "n"])
 
     def merge(batches):
         for rows in batches:
-            schema = pa.schema([(id_col, rows.schema.field(0).type), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("contaminated", pa.bool_())])
-            yield _finish(rows.column(0), rows.column(1), rows.column(2).to_pylist(), rows.column(3).to_pylist(), schema)
+            yield finished(rows.column(0), rows.column(1), *([x or [] for x in rows.column(k).to_pylist()] for k in (2, 3)))
 
-    copies = (F.count(F.lit(1)) / len(ready)).cast("int").alias("copies")
-    met = parts.groupBy("key", "sig").agg(F.max("n_words").alias("n"), F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"), copies)
-    return met.select("key", "n", "s", "i", F.explode(F.sequence(F.lit(1), "copies"))).select("key", "n", "s", "i").mapInArrow(merge, out)
+    merged = found.groupBy("key", "sig").agg(F.flatten(F.collect_list("spans")).alias("s"), F.flatten(F.collect_list("items")).alias("i"))
+    merged = merged.withColumnsRenamed({"key": "hit_key", "sig": "hit_sig"})
+    sized = signed.mapInArrow(count, f"key {kind}, sig string, n long")
+    met = sized.join(merged, F.col("key").eqNullSafe(F.col("hit_key")) & (F.col("sig") == F.col("hit_sig")), "left")
+    return met.select("key", "n", "s", "i").mapInArrow(merge, out)
 
 
 def items_digest(items: list[str]) -> str:
