@@ -220,9 +220,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_lines(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows with the removed lines cut out of their texts; other columns stay."""
-    gone = found.filter("n_removed > 0").select(F.col(id_col).alias("_i"), F.col("r").alias("_r"), F.col("removed").alias("_gone"))
-    body = as_text(text_col)
-    met = docs.withColumn("_h", F.xxhash64(F.col(id_col), body)).join(gone, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_r")), "left")
-    lines = F.filter(F.split(body, "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    return met.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))).select(*docs.columns)
+    """The input rows with the removed lines cut out of their texts; other columns stay, whatever
+    they are called.  Rows without removed lines, null texts among them, are unchanged."""
+    gone = found.filter("n_removed > 0").select(F.col(id_col).alias("id"), "r", "removed").alias("gone")
+    body = as_text(F.col(f"docs.{text_col}"))
+    same = F.col(f"docs.{id_col}").eqNullSafe(F.col("gone.id")) & (F.xxhash64(F.col(f"docs.{id_col}"), body) == F.col("gone.r"))
+    met = docs.alias("docs").join(gone, same, "left")
+    lines = F.split(body, "\n", -1)
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone.removed"))
+    left = F.array_join(F.transform(numbers, lambda i: F.get(lines, i)), "\n")
+    cut = F.when(F.col("gone.removed").isNull(), F.col(f"docs.{text_col}")).otherwise(left)
+    return met.select(*[cut.alias(c) if c == text_col else F.col(f"docs.`{c}`") for c in docs.columns])
