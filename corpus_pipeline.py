@@ -17,8 +17,9 @@ from glimmer.llm.common import small, stored, table
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is not listed; a null id is a value like others."""
-    listed = stored(ids.select(F.col("doc_id").alias("_id")).distinct(), "pipeline-ids")
-    return docs.join(small(listed, listed.count()), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    listed = stored(ids.select("doc_id").distinct(), "pipeline-ids").alias("listed")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("listed.doc_id"))
+    return docs.alias("docs").join(small(listed, listed.count()), same, "left_anti")
 
 
 def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
