@@ -78,3 +78,13 @@ def infer_roles(columns: list[str]) -> dict[str, str]:
 def is_sigma(name: str) -> bool:
     base = name.lower().split("[")[0].strip()
     return base == "sigma" or base.startswith("sigma") and (base[5:6] in "_1234567890")
+
+
+def histograms(df: DataFrame, column: str, width: float, kept: Column) -> DataFrame:
+    """(bin, n_all, n_kept): a column's histogram over all rows and over those that a filter keeps."""
+    return df.groupBy(F.floor(F.col(column) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(kept).alias("n_kept"))
+
+
+def share_above(df: DataFrame, column: str, cutoff: float) -> DataFrame:
+    """One row: the share of the rows above a cutoff, rows without a value left out."""
+    return df.filter(F.col(column).isNotNull()).agg(F.avg((F.col(column) > cutoff).cast("double")).alias("share_above"))

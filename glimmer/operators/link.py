@@ -23,15 +23,17 @@ from glimmer.session import cut
 MOST_SUBNET = 30
 
 
-def candidates(points: DataFrame, search: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, a, b, sq): pairs of points (by their ``loc``) of neighbouring frames within the range."""
+def candidates(points: DataFrame, search: float, by: tuple[str, ...] = (), memory: int = 0) -> DataFrame:
+    """(by, frame, a, b, gap, sq): pairs of points (by their ``loc``) within the range, b in one of
+    the ``memory + 1`` frames after that of a (``frame`` is that of b)."""
     p = points.select(*by, "loc", "frame", "x", "y").withColumn("cx", F.floor(F.col("x") / search)).withColumn("cy", F.floor(F.col("y") / search))
-    a = p.select(*by, F.col("loc").alias("a"), (F.col("frame") + 1).alias("frame"), F.col("x").alias("xa"), F.col("y").alias("ya"), "cx", "cy")
-    near = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in product((-1, 0, 1), repeat=2)]
+    a = p.select(*by, F.col("loc").alias("a"), "frame", F.col("x").alias("xa"), F.col("y").alias("ya"), "cx", "cy")
+    near = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).cast("long").alias("k")) for k in range(1, memory + 2) for i, j in product((-1, 0, 1), repeat=2)]
     a = a.withColumn("d", F.explode(F.array(*near))).withColumn("cx", F.col("cx") + F.col("d.i")).withColumn("cy", F.col("cy") + F.col("d.j"))
+    a = a.withColumn("gap", F.col("d.k")).withColumn("frame", F.col("frame") + F.col("gap"))
     b = p.select(*by, F.col("loc").alias("b"), "frame", F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy")
     sq = F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)
-    return a.join(b, [*by, "frame", "cx", "cy"]).withColumn("sq", sq).filter(F.col("sq") <= search * search).select(*by, "frame", "a", "b", "sq")
+    return a.join(b, [*by, "frame", "cx", "cy"]).withColumn("sq", sq).filter(F.col("sq") <= search * search).select(*by, "frame", "a", "b", "gap", "sq")
 
 
 def assign(cost: dict[tuple[int, int], float], lost: float) -> list[tuple[int, int]]:
@@ -87,7 +89,7 @@ def assign(cost: dict[tuple[int, int], float], lost: float) -> list[tuple[int, i
 
 def _frame_links(points: DataFrame, search: float, by: tuple[str, ...]) -> DataFrame:
     """(a, b): the links between consecutive frames, solved by (by, frame) group of contested pairs."""
-    c = candidates(points, search, by)
+    c = candidates(points, search, by).drop("gap")
     alone_a = c.groupBy("a").agg(F.count(F.lit(1)).alias("na"))
     alone_b = c.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
     counted = c.join(alone_a, "a").join(alone_b, "b")

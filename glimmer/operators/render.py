@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TRUNCATE, LEAST_SIGMA, MOST_RADIUS = 3.0, 0.5, 64
+#: Pixels of a side of the tiles that kernels are added up in, localizations that are added up
+#: together, and kernel pixels that are made at once.
+TILE, TOGETHER, AT_ONCE = 1024, 200_000, 1 << 21
 
 
 def binned(locs: DataFrame, width: int, height: int, over: int) -> DataFrame:
@@ -30,26 +36,75 @@ def splat(locs: DataFrame, width: int, height: int, over: int, sigma_px: Column,
     """Every localization as a Gaussian of its own width, cut at three sigma and normalised by
     what is left, so that it adds exactly its weight; what falls outside the field is lost.
 
-    The kernel is separable: its row and column factors are made per localization (at most
-    129 each) and only their product is spread over pixels, which partial sums per task
-    collapse before the shuffle.
+    Kernels are added up in tiles of the image by Arrow batches, at most ``TOGETHER``
+    localizations at a time; what leaves a task is a row for each pixel that got something, and
+    the shuffle adds those of all tasks.
     """
     s = F.least(F.greatest(F.coalesce(F.when(~F.isnan(sigma_px), sigma_px * over), F.lit(LEAST_SIGMA)), F.lit(LEAST_SIGMA)), F.lit(MOST_RADIUS / TRUNCATE))
     rows = locs.filter("x IS NOT NULL AND y IS NOT NULL").filter(~F.isnan("x") & ~F.isnan("y"))
     fx, fy = (F.col("x") + 0.5) * over, (F.col("y") + 0.5) * over
-    rows = rows.select(*by, fx.alias("fx"), fy.alias("fy"), s.alias("s"), (F.lit(1.0) if weight is None else weight).alias("w"))
-    rows = rows.withColumn("r", F.ceil(F.col("s") * TRUNCATE).cast("int")).withColumn("ix", F.floor("fx").cast("int")).withColumn("iy", F.floor("fy").cast("int"))
-    rows = rows.filter((F.col("ix") + F.col("r") >= 0) & (F.col("ix") - F.col("r") < width * over) & (F.col("iy") + F.col("r") >= 0) & (F.col("iy") - F.col("r") < height * over))
-
-    def kernel(f: str, i: str) -> Column:
-        return F.transform(F.sequence(-F.col("r"), F.col("r")), lambda d: F.struct((F.col(i) + d).alias("at"), F.exp(-F.pow(F.col(i) + d + 0.5 - F.col(f), 2) / (2.0 * F.col("s") * F.col("s"))).alias("g")))
-
-    total = lambda k: F.aggregate(k, F.lit(0.0), lambda a, v: a + v["g"])
-    rows = rows.withColumn("kx", kernel("fx", "ix")).withColumn("ky", kernel("fy", "iy"))
-    rows = rows.withColumn("scale", F.col("w") / (total(F.col("kx")) * total(F.col("ky"))))
-    rows = rows.select(*by, "scale", "kx", F.explode("ky").alias("ky")).filter((F.col("ky.at") >= 0) & (F.col("ky.at") < height * over))
-    rows = rows.select(*by, F.col("ky.at").alias("row"), (F.col("scale") * F.col("ky.g")).alias("v"), F.explode("kx").alias("kx")).filter((F.col("kx.at") >= 0) & (F.col("kx.at") < width * over))
-    return rows.groupBy(*by, "row", F.col("kx.at").alias("col")).agg(F.sum(F.col("v") * F.col("kx.g")).alias("value"))
+    value = F.lit(1.0) if weight is None else weight.cast("double")
+    rows = rows.select(*by, fx.alias("_fx"), fy.alias("_fy"), s.cast("double").alias("_s"), value.alias("_w")).filter("_w IS NOT NULL")
+    reach = F.ceil(F.col("_s") * TRUNCATE)
+    for at, size in (("_fx", width * over), ("_fy", height * over)):
+        rows = rows.filter((F.floor(at) + reach >= 0) & (F.floor(at) - reach < size))
+    keys = [rows.schema[c] for c in by]
+    schema = T.StructType([*keys, T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("value", T.DoubleType())])
+    shape = (height * over, width * over)
+
+    def run(batches):
+        held, n = [], 0
+        for rows_in in batches:
+            held.append(rows_in)
+            n += rows_in.num_rows
+            if n >= TOGETHER:
+                yield from _splatted(pa.Table.from_batches(held), len(by), shape)
+                held, n = [], 0
+        if held:
+            yield from _splatted(pa.Table.from_batches(held), len(by), shape)
+
+    return rows.mapInArrow(run, schema).groupBy(*by, "row", "col").agg(F.sum("value").alias("value"))
+
+
+def _splatted(table: pa.Table, n_keys: int, shape: tuple[int, int]):
+    """Batches (keys, row, col, value) of the kernels of localizations (keys, fx, fy, s, w)."""
+    fx, fy, s, w = (table.column(n_keys + k).to_numpy() for k in range(4))
+    r = np.ceil(s * TRUNCATE).astype(np.int64)
+    group = np.zeros(len(fx), np.int64)
+    for k in range(n_keys):
+        code = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        group = np.unique(group * (int(code.max(initial=0)) + 1) + code, return_inverse=True)[1]
+    tile = (np.clip(np.floor(fy).astype(np.int64), 0, shape[0] - 1) // TILE) * (shape[1] // TILE + 1) + np.clip(np.floor(fx).astype(np.int64), 0, shape[1] - 1) // TILE
+    order = np.lexsort((r, tile, group))
+    edges = np.flatnonzero((np.diff(group[order]) != 0) | (np.diff(tile[order]) != 0)) + 1
+    for some in np.split(order, edges):
+        if not len(some):
+            continue
+        reach = int(r[some[-1]])
+        y0, x0 = (max(0, int(np.floor(v[some].min())) - reach) for v in (fy, fx))
+        y1, x1 = (min(m, int(np.floor(v[some].max())) + reach + 1) for v, m in zip((fy, fx), shape, strict=True))
+        size = (y1 - y0, x1 - x0)
+        image = np.zeros(size[0] * size[1])
+        for same in np.split(some, np.flatnonzero(np.diff(r[some])) + 1):
+            d = np.arange(-int(r[same[0]]), int(r[same[0]]) + 1)
+            share = max(1, AT_ONCE // len(d) ** 2)
+            for k in range(0, len(same), share):
+                i = same[k : k + share]
+                sides = []
+                for f, low, n in ((fy[i], y0, size[0]), (fx[i], x0, size[1])):
+                    at = np.floor(f).astype(np.int64)[:, None] + d
+                    g = np.exp(-((at + 0.5 - f[:, None]) ** 2) / (2 * s[i] ** 2)[:, None])
+                    g /= g.sum(1, keepdims=True)
+                    at -= low
+                    g[(at < 0) | (at >= n)] = 0
+                    sides.append((np.clip(at, 0, n - 1), g))
+                (ay, gy), (ax, gx) = sides
+                flat = (ay * size[1])[:, :, None] + ax[:, None, :]
+                image += np.bincount(flat.reshape(-1), ((w[i][:, None] * gy)[:, :, None] * gx[:, None, :]).reshape(-1), len(image))
+        found = np.flatnonzero(image)
+        keys = [table.column(k).slice(int(some[0]), 1).take(pa.array(np.zeros(len(found), np.int64))).combine_chunks() for k in range(n_keys)]
+        rest = [pa.array((found // size[1] + y0).astype(np.int32)), pa.array((found % size[1] + x0).astype(np.int32)), pa.array(image[found])]
+        yield pa.RecordBatch.from_arrays([*keys, *rest], [*table.column_names[:n_keys], "row", "col", "value"])
 
 
 def blurred(image: DataFrame, sigma: float, width: int, height: int) -> DataFrame:
@@ -119,6 +174,24 @@ def window_close(movie_frame: Column, first: int, size: int, stride: int) -> Col
     return first + size - 1 + movie_frame * stride
 
 
+def strided(df: DataFrame, frame: str, first: int, last: int, step: int) -> DataFrame:
+    """Rows of every ``step``-th frame of first .. last."""
+    f = F.col(frame)
+    return df.filter(f.between(first, last) & ((f - first) % max(1, step) == 0))
+
+
+def fixed_range(df: DataFrame, frame: str, first: int, last: int) -> DataFrame:
+    """Rows of the frames of a movie of a fixed range; one that starts past its end is refused."""
+    if first > last:
+        raise ValueError(f"the range starts at {first}, past its end {last}")
+    return df.filter(F.col(frame).between(first, last))
+
+
+def cropped(image: DataFrame, top: int, bottom: int, left: int, right: int) -> DataFrame:
+    """Pixels of rows top .. bottom - 1 and columns left .. right - 1, where they were."""
+    return image.filter((F.col("row") >= top) & (F.col("row") < bottom) & (F.col("col") >= left) & (F.col("col") < right))
+
+
 def rotated(image: DataFrame, quarter_turns: int, width: int, height: int) -> DataFrame:
     """Exact counter-clockwise rotation by quarter turns."""
     r, c = F.col("row"), F.col("col")

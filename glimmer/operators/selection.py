@@ -72,24 +72,28 @@ def layer_name(population: str | None = None, merged: bool = False) -> str:
 
 
 class LinkCache:
-    """Trajectories by what they were linked from; they come back for the same table and settings."""
+    """Trajectories by what they were linked from; they come back for the same rows and settings.
+
+    The key holds a digest of the rows, whatever their order (two sums over hashes of whole rows,
+    one pass without a shuffle of rows), the columns and the settings.
+    """
 
     def __init__(self, folder: str) -> None:
         self.folder = folder
 
     def key(self, points: DataFrame, **settings: object) -> str:
-        plan = points._jdf.queryExecution().analyzed().canonicalized().toString()
-        return hashlib.sha256((plan + json.dumps(settings, sort_keys=True, default=str)).encode()).hexdigest()[:24]
+        row = [F.col(f"`{c}`") for c in points.columns]
+        one, other = F.xxhash64(*row), F.xxhash64(F.lit("other"), *row)
+        digest = points.agg(F.count(F.lit(1)), *[F.sum(h.cast("decimal(20,0)")) for h in (one, other)]).first()
+        told = [points.dtypes, [str(v) for v in digest], settings]
+        return hashlib.sha256(json.dumps(told, sort_keys=True, default=str).encode()).hexdigest()[:24]
 
-    def link(self, points: DataFrame, search: float, memory: int = 0, least: int = 1) -> DataFrame:
-        path = os.path.join(self.folder, self.key(points, search=search, memory=memory, least=least))
+    def link(self, points: DataFrame, search: float, memory: int = 0, least: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
         spark = points.sparkSession
-        try:
-            return spark.read.parquet(path)
-        except Exception as e:  # not linked before
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        link(points, search, memory, least).write.parquet(path)
+        path = os.path.join(self.folder, self.key(points, search=search, memory=memory, least=least, by=by))
+        done = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(path, "_SUCCESS"))
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            link(points, search, memory, least, by).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from glimmer.functions.scalars import static_p_value
+from glimmer.functions.scalars import sigma_from_msd, static_p_value
 from glimmer.operators.filters import Bounds, range_filter
 
 
@@ -182,3 +182,23 @@ def resampled(points: DataFrame, spacing: float) -> DataFrame:
 def trail(points: DataFrame, current: int, tail: int) -> DataFrame:
     """Points shown at a frame with a tail of that many frames (at least one)."""
     return points.filter((F.col("frame") <= current) & (F.col("frame") > current - max(1, tail)))
+
+
+def time_span(points: DataFrame) -> DataFrame:
+    """First and last frame of each trajectory."""
+    return points.groupBy("particle").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+
+
+def precision_check(points: DataFrame, fit: DataFrame, sigma: Column) -> DataFrame:
+    """The precision that the fits report (median over a trajectory's usable ones) against the one
+    that the intercept of its mean square displacements shows: sigma_fit, sigma_msd, ratio (nm)."""
+    told = points.groupBy("particle").agg(F.median(usable_sigma(sigma)).alias("sigma_fit"), F.count(F.lit(1)).alias("n"))
+    shown = fit.select("particle", sigma_from_msd(F.col("intercept")).alias("sigma_msd"))
+    met = told.join(shown, "particle", "left")
+    return met.withColumn("ratio", F.col("sigma_msd") / F.nullif(F.col("sigma_fit"), F.lit(0.0)))
+
+
+def binned_settings(n: int, offset: float, fps: float) -> tuple[float, float]:
+    """Camera offset and frame rate after n frames are added up: offsets add up, the rate falls."""
+    n = max(1, n)
+    return offset * n, fps / n

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.functions import scalars as S
 from glimmer.operators import drift as D
-from glimmer.operators import filters, render, timejoin
+from glimmer.operators import filters, render, selection, spots, timejoin
 from glimmer.operators import tracks as T
 from glimmer.plans import bridge as B
 
@@ -86,12 +88,29 @@ def frame_shift(spark, d):
     return filters.shift_frames(B.locs(spark, d), -1).groupBy("frame").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{B.sql('locs')} SELECT CAST(frame // 7 AS BIGINT) AS bin, CAST(sum(x) * 1000 AS BIGINT) AS total, count(*) AS n FROM (SELECT frame, round(x * 1000) / 1000 AS x FROM locs)
-WHERE frame // 7 < 1000 // 7 GROUP BY 1""".replace("CAST(sum(x) * 1000 AS BIGINT)", "CAST(sum(CAST(round(x * 1000) AS BIGINT)) AS BIGINT)"))
+@query("""SELECT CAST(vec_id // 7 AS INTEGER) AS bin, round(sum(list_sum(CAST(embedding AS DOUBLE[]))) + 1.23e-8, 5) AS total
+FROM embeddings WHERE vec_id < ((SELECT max(vec_id) FROM embeddings) + 1) // 7 * 7 GROUP BY 1""")
 def time_bin_sum_drop_tail(spark, d):
-    b = F.floor(F.col("frame") / 7).cast("long")
-    l = B.locs(spark, d).filter(b < 1000 // 7)  # noqa: E741
-    return l.groupBy(b.alias("bin")).agg(F.sum(F.round(F.col("x") * 1000).cast("long")).alias("total"), F.count(F.lit(1)).alias("n"))
+    return spots.time_binned(_patches(spark, d), 7).select(F.col("frame").alias("bin"), R(_pixel_sum("pixels") + 1.23e-8, "total", 5))
+
+
+def _patches(spark, d) -> DataFrame:
+    """The 8 x 8 embeddings as frames of pixels."""
+
+    def run(batches):
+        for f in batches:
+            pixels = [np.asarray(e, np.float64).tobytes() for e in f["embedding"]]
+            yield pd.DataFrame({"frame": f["vec_id"].astype("int32"), "height": 8, "width": 8, "pixels": pixels})
+
+    return B.table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "frame int, height int, width int, pixels binary")
+
+
+def _pixel_sum(column: str) -> Column:
+    @F.pandas_udf("double")
+    def total(pixels: pd.Series) -> pd.Series:
+        return pixels.map(lambda b: float(np.frombuffer(b, np.float64).sum()))
+
+    return total(column)
 
 
 def _crlb(mle: bool) -> str:
@@ -298,7 +317,7 @@ def msd_slope_stderr(spark, d):
 @query(f"""{FIT} SELECT particle, round(CASE WHEN intercept > 0 THEN sqrt(intercept) / 2 * 1000 END, 3) AS sigma_nm, avg(CASE WHEN slope / 4 > 0.05 THEN 1.0 ELSE 0.0 END) OVER () AS share_above FROM f""")
 def sigma_from_msd(spark, d):
     f = T.msd_fit(_msd(spark, d), 0.03)
-    above = f.agg(F.avg((F.col("d_um2_per_s") > 0.05).cast("double")).alias("share_above"))
+    above = filters.share_above(f, "d_um2_per_s", 0.05)
     return f.crossJoin(F.broadcast(above)).select("particle", R(S.sigma_from_msd(F.col("intercept")), "sigma_nm", 3), "share_above")  # one row
 
 
@@ -310,7 +329,7 @@ def dynamics_filter_semi(spark, d):
 
 @query(f"""{B.sql('locs')} SELECT CAST(floor(photons / 100) AS BIGINT) AS bin, count(*) AS n_all, count(*) FILTER (sigma_nm <= 180) AS n_kept FROM locs GROUP BY 1""")
 def histogram_all_vs_kept(spark, d):
-    return B.locs(spark, d).groupBy(F.floor(F.col("photons") / 100).alias("bin")).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("sigma_nm") <= 180).alias("n_kept"))
+    return filters.histograms(B.locs(spark, d), "photons", 100, F.col("sigma_nm") <= 180)
 
 
 PIX = 'CAST(floor((y + 0.5) * 2) AS INTEGER) AS "row", CAST(floor((x + 0.5) * 2) AS INTEGER) AS col'
@@ -332,7 +351,7 @@ def render_scatter(spark, d):
     return render.scatter(B.locs(spark, d), 64, 64, 2)
 
 
-SPLAT = """k AS (SELECT (x + 0.5) * 2 AS fx, (y + 0.5) * 2 AS fy, least(greatest(sigma_nm / 100 / 4 * 2, 0.5), 64 / 3.0) AS s, row_number() OVER () AS id FROM locs WHERE frame < 50),
+SPLAT = """k AS (SELECT (x + 0.5) * 2 AS fx, (y + 0.5) * 2 AS fy, least(greatest(sigma_nm / 100 / 4 * 2, 0.5), 64 / 3.0) AS s, row_number() OVER () AS id FROM locs),
 g AS (SELECT *, CAST(floor(fx) AS INTEGER) AS ix, CAST(floor(fy) AS INTEGER) AS iy, CAST(ceil(s * 3) AS INTEGER) AS r FROM k),
 gx AS (SELECT id, ix + d AS c, exp(-power(ix + d + 0.5 - fx, 2) / (2 * s * s)) AS g FROM (SELECT *, unnest(range(-r, r + 1)) AS d FROM g)),
 gy AS (SELECT id, iy + d AS r, exp(-power(iy + d + 0.5 - fy, 2) / (2 * s * s)) AS g FROM (SELECT *, unnest(range(-r, r + 1)) AS d FROM g)),
@@ -341,13 +360,6 @@ nx AS (SELECT id, c, g / sum(g) OVER (PARTITION BY id) AS g FROM gx), ny AS (SEL
 
 @query(f"""{B.sql('locs')}, {SPLAT} SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(sum(nx.g * ny.g), 6) AS value FROM nx JOIN ny USING (id) WHERE r BETWEEN 0 AND 127 AND c BETWEEN 0 AND 127 GROUP BY 1, 2""")
 def render_gaussian_local(spark, d):
-    l = B.locs(spark, d).filter("frame < 50")  # noqa: E741
-    return render.splat(l, 64, 64, 2, F.col("sigma_nm") / 100 / 4).select("row", "col", R("value"))
-
-
-@query(f"""{B.sql('locs')}, {SPLAT.replace(" WHERE frame < 50", "")} SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(sum(nx.g * ny.g), 6) AS value FROM nx JOIN ny USING (id) WHERE r BETWEEN 0 AND 127 AND c BETWEEN 0 AND 127 GROUP BY 1, 2""")
-def render_gaussian(spark, d):
-    """All localizations; ``render_gaussian_local`` is held to the first 50 frames by its SQL."""
     return render.splat(B.locs(spark, d), 64, 64, 2, F.col("sigma_nm") / 100 / 4).select("row", "col", R("value"))
 
 
@@ -407,8 +419,11 @@ def contrast_limits(spark, d):
 @query(f"""{B.sql('tracks')}, p AS (SELECT particle, (particle * 37 % 101) / 100.0 AS p FROM tracks GROUP BY particle)
 SELECT CAST(floor(y) AS INTEGER) AS "row", CAST(floor(x) AS INTEGER) AS col, round(sum(p), 6) AS immobile, round(sum(1 - p), 6) AS mobile FROM tracks JOIN p USING (particle) GROUP BY 1, 2""")
 def soft_population_weights(spark, d):
-    t = B.tracks(spark, d).withColumn("p", F.col("particle") * 37 % 101 / 100.0)
-    return t.groupBy(F.floor("y").cast("int").alias("row"), F.floor("x").cast("int").alias("col")).agg(R(F.sum("p"), "immobile"), R(F.sum(1 - F.col("p")), "mobile"))
+    t = B.tracks(spark, d)
+    p = t.select("particle").distinct().select("particle", (F.col("particle") * 37 % 101 / 100.0).alias("p_immobile")).withColumn("p_1", 1 - F.col("p_immobile"))
+    met = selection.attach_population(t, p).withColumn("x", F.col("x") - 0.5).withColumn("y", F.col("y") - 0.5)
+    each = [render.histogram(met, 64, 64, 1, selection.soft_weights(met, c)).select("row", "col", R("value", name)) for c, name in (("p_immobile", "immobile"), ("p_1", "mobile"))]
+    return each[0].join(each[1], ["row", "col"])
 
 
 COEF = [(32.5, 31.0), (30.2, 0.4), (-0.3, 29.5), (0.8, 0.1), (0.2, -0.5), (-0.1, 0.6)]
@@ -418,7 +433,8 @@ def _quad_sql() -> str:
     terms = ["1", "u", "v", "u * u", "u * v", "v * v"]
     x, y = (" + ".join(f"({c[k]}) * {t}" for t, c in zip(terms, COEF, strict=True)) for k in (0, 1))
     return f"""{B.sql('locs')}, n AS (SELECT frame, x, y, (x - 32) / 30 AS u, (y - 32) / 30 AS v FROM locs)
-SELECT frame, x, y, round({x} + 1.23e-8, 6) AS mx, round({y} + 1.23e-8, 6) AS my, round((30.2 + 1.6 * u + 0.2 * v) / 30, 6) AS jxx, round((-0.3 + 0.2 * u - 0.2 * v) / 30, 6) AS jxy FROM n"""
+SELECT frame, x, y, round({x} + 1.23e-8, 6) AS mx, round({y} + 1.23e-8, 6) AS my, round((30.2 + 1.6 * u + 0.2 * v) / 30, 6) AS jxx, round((-0.3 + 0.2 * u - 0.2 * v) / 30, 6) AS jxy,
+round((0.4 + 0.2 * u - 0.5 * v) / 30, 6) AS jyx, round((29.5 - 0.5 * u + 1.2 * v) / 30, 6) AS jyy FROM n"""
 
 
 @query(_quad_sql())
@@ -426,30 +442,23 @@ def quad_map_apply(spark, d):
     x, y = F.col("x"), F.col("y")
     mx, my = S.quad_map(x, y, COEF, (32, 32), 30)
     j = S.quad_jacobian(x, y, COEF, (32, 32), 30)
-    return B.locs(spark, d).select("frame", "x", "y", R(mx + 1.23e-8, "mx"), R(my + 1.23e-8, "my"), R(j[0], "jxx"), R(j[1], "jxy"))
+    return B.locs(spark, d).select("frame", "x", "y", R(mx + 1.23e-8, "mx"), R(my + 1.23e-8, "my"), R(j[0], "jxx"), R(j[1], "jxy"), R(j[2], "jyx"), R(j[3], "jyy"))
 
 
 PATCH = "px AS (SELECT vec_id, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, CAST(embedding[i + 1] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings))"
 
 
-def _pixels(spark, d):
-    e = B.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return e.select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("r"), (F.col("i") % 8).alias("c"), F.col("v").cast("double").alias("v"))
-
-
 @query(f"""WITH {PATCH} SELECT a.vec_id, a.r, a.c FROM px a JOIN px b ON a.vec_id = b.vec_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c)
-WHERE a.r BETWEEN 1 AND 6 AND a.c BETWEEN 1 AND 6 GROUP BY 1, 2, 3 HAVING bool_and(CASE WHEN b.r < a.r OR (b.r = a.r AND b.c < a.c) THEN a.v > b.v ELSE a.v >= b.v END)""")
+WHERE a.r BETWEEN 2 AND 5 AND a.c BETWEEN 2 AND 5 GROUP BY 1, 2, 3 HAVING bool_and(CASE WHEN b.r < a.r OR (b.r = a.r AND b.c < a.c) THEN a.v > b.v ELSE a.v >= b.v END)""")
 def local_maxima_patch(spark, d):
-    e = B.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    at = e.select("vec_id", "e", F.explode(F.array(*[F.lit(r * 8 + c) for r in range(1, 7) for c in range(1, 7)])).alias("i"))
-    v = F.get(F.col("e"), F.col("i"))
-    ok = F.lit(True)
-    for dr in (-1, 0, 1):
-        for dc in (-1, 0, 1):
-            if dr or dc:
-                other = F.get(F.col("e"), F.col("i") + (dr * 8 + dc))
-                ok = ok & (v > other if (dr, dc) < (0, 0) else v >= other)
-    return at.filter(ok).select("vec_id", F.floor(F.col("i") / 8).cast("int").alias("r"), (F.col("i") % 8).alias("c"))
+    """Those a box and a pixel away from the edge, as the operator finds them."""
+
+    def run(batches):
+        for f in batches:
+            out = [(k, r, c) for k, b in zip(f["frame"], f["pixels"], strict=True) for r, c in zip(*spots.local_maxima(np.frombuffer(b, np.float64).reshape(8, 8), 3), strict=True)]
+            yield pd.DataFrame(out, columns=["vec_id", "r", "c"])
+
+    return _patches(spark, d).select("frame", "pixels").mapInPandas(run, "vec_id long, r int, c int")
 
 
 @query(f"""WITH {PATCH}, g AS (SELECT p.vec_id, p.r - 3 AS dy, p.c - 3 AS dx, d.v - u.v AS gy, r.v - l.v AS gx FROM px p JOIN px u ON u.vec_id = p.vec_id AND u.r = p.r - 1 AND u.c = p.c
@@ -457,15 +466,13 @@ JOIN px d ON d.vec_id = p.vec_id AND d.r = p.r + 1 AND d.c = p.c JOIN px l ON l.
 WHERE p.r BETWEEN 1 AND 5 AND p.c BETWEEN 1 AND 5 AND NOT (p.r = 3 AND p.c = 3))
 SELECT vec_id, round(-sum((gy * dy + gx * dx) / sqrt(dy * dy + dx * dx)), 5) AS net_gradient FROM g GROUP BY vec_id""")
 def net_gradient_patch(spark, d):
-    e = B.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    at = lambda r, c: F.get(F.col("e"), F.lit(r * 8 + c))
-    total = F.lit(0.0)
-    for dy in range(-2, 3):
-        for dx in range(-2, 3):
-            if dy or dx:
-                r, c = 3 + dy, 3 + dx
-                total = total - ((at(r + 1, c) - at(r - 1, c)) * dy + (at(r, c + 1) - at(r, c - 1)) * dx) / float((dy * dy + dx * dx) ** 0.5)
-    return e.select("vec_id", R(total, "net_gradient", 5))
+    centre = np.array([3])
+
+    def run(batches):
+        for f in batches:
+            yield pd.DataFrame({"vec_id": f["frame"].astype("int64"), "g": [float(spots.net_gradient(np.frombuffer(b, np.float64).reshape(8, 8), centre, centre, 5)[0]) for b in f["pixels"]]})
+
+    return _patches(spark, d).select("frame", "pixels").mapInPandas(run, "vec_id long, g double").select("vec_id", R("g", "net_gradient", 5))
 
 
 @query(f"""{B.sql('tracks')}, {PATHS} SELECT particle, round(least(greatest((ln(nullif(greatest(net, 0), 0)) - ln(0.1)) / (ln(10) - ln(0.1)), 0), 1), 6) AS log_scale, round(least(greatest(distance / 400, 0), 1), 6) AS linear_scale,

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glimmer.functions import scalars as S
 from glimmer.operators import drift as D
-from glimmer.operators import growth, link, populations, render, selection, spots
+from glimmer.operators import growth, link, populations, register, render, selection, spots
 from glimmer.operators import tracks as T
 from glimmer.plans import bridge as B
-from glimmer.plans.catalog import IN_FIELD, PIX, R, query
+from glimmer.plans.catalog import FIT, IN_FIELD, PIX, R, query
 
 
 @query(f"{B.sql('walks')} SELECT particle, min(frame) AS first_frame, max(frame) AS last_frame FROM walks GROUP BY particle")
 def trajectory_time_metric(spark, d):
-    return B.walks(spark, d).groupBy("particle").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    return T.time_span(B.walks(spark, d))
 
 
 @query(f"{B.sql('walks')} SELECT particle, frame, x FROM walks WHERE frame <= 40 AND frame > 28")
@@ -98,21 +100,13 @@ def spatial_range_join(spark, d):
 @query(f"""{B.sql('locs')}, i AS (SELECT {PIX}, count(*) AS value FROM locs WHERE {IN_FIELD} GROUP BY 1, 2)
 SELECT 127 - col AS "row", "row" AS col, CAST(least(greatest(floor(value / 40.0 * 255), 0), 255) AS INTEGER) AS shown FROM i WHERE "row" BETWEEN 10 AND 99""")
 def image_rotate_crop_stretch(spark, d):
-    i = render.histogram(B.locs(spark, d), 64, 64, 2).filter(F.col("row").between(10, 99))
+    i = render.cropped(render.histogram(B.locs(spark, d), 64, 64, 2), 10, 100, 0, 128)
     return render.rotated(i, 1, 128, 128).select("row", "col", S.eight_bit(F.col("value"), F.lit(0.0), F.lit(40.0)).alias("shown"))
 
 
-@query(f"""{B.sql('locs')}, l AS (SELECT {PIX}, CAST(photons % 256 AS INTEGER) AS r, CAST(frame % 256 AS INTEGER) AS g, 10 AS b FROM locs WHERE {IN_FIELD} AND frame < 100)
-SELECT "row", col, CAST(least(sum(r), 255) AS INTEGER) AS r, CAST(least(sum(g), 255) AS INTEGER) AS g, CAST(least(sum(b), 255) AS INTEGER) AS b FROM l GROUP BY 1, 2""")
-def additive_blend(spark, d):
-    l = render.binned(B.locs(spark, d).filter("frame < 100"), 64, 64, 2)  # noqa: E741
-    return render.blended(l.select("row", "col", (F.col("photons") % 256).cast("int").alias("r"), (F.col("frame") % 256).cast("int").alias("g"), F.lit(10).alias("b")))
-
-
 @query(f"""{B.sql('locs')}, l AS (SELECT {PIX}, CAST(photons % 7 AS INTEGER) AS r, CAST(frame % 8 AS INTEGER) AS g, 1 AS b FROM locs WHERE {IN_FIELD})
 SELECT "row", col, CAST(least(sum(r), 255) AS INTEGER) AS r, CAST(least(sum(g), 255) AS INTEGER) AS g, CAST(least(sum(b), 255) AS INTEGER) AS b FROM l GROUP BY 1, 2""")
-def additive_blend_whole(spark, d):
-    """All localizations, in darker colours; ``additive_blend`` is held to the first 100 frames by its SQL."""
+def additive_blend(spark, d):
     l = render.binned(B.locs(spark, d), 64, 64, 2)  # noqa: E741
     return render.blended(l.select("row", "col", (F.col("photons") % 7).cast("int").alias("r"), (F.col("frame") % 8).cast("int").alias("g"), F.lit(1).alias("b")))
 
@@ -132,8 +126,7 @@ def render_global_blur(spark, d):
 
 @query(f"""{B.sql('record')} SELECT t, round(regr_slope(dx, t) OVER (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS rate FROM record""")
 def sliding_slope(spark, d):
-    w = Window.orderBy("t").rowsBetween(-2, 2)  # one row per sample of a record
-    return B.record(spark, d).select("t", R(F.regr_slope("dx", "t").over(w), "rate"))
+    return register.growth_metrics(B.record(spark, d).select("t", F.col("dx").alias("stretch"))).select("t", R("rate"))
 
 
 _QUAD = growth.QuadMap([(32.5, 31.0), (30.2, 0.4), (-0.3, 29.5), (0.8, 0.1), (0.2, -0.5), (-0.1, 0.6)], (32.0, 32.0), 30.0)
@@ -147,18 +140,22 @@ def growth_final_position(spark, d):
     return B.locs(spark, d).select("frame", "x", "y", R(fx, "fx"), R(fy, "fy"))
 
 
+_MIX = populations.Mixture(np.array([0.001, 0.08]), np.array([0.35, 0.65]), 0.0)
+_V = [float(2 * v * 0.03 * (1 - 2 / 6) + 2 * 0.02**2) for v in _MIX.d]
+
+
 @query(f"""{B.sql('walks')}, s AS (SELECT particle, frame - lag(frame) OVER w AS gap, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS r FROM walks WINDOW w AS (PARTITION BY particle ORDER BY frame)),
 o AS (SELECT r FROM s WHERE gap = 1), c AS (SELECT b, (b + 0.5) * 0.01 AS m FROM (SELECT unnest(range(0, 15)) AS b)), n AS (SELECT count(*) AS n FROM o)
-SELECT CAST(c.b AS BIGINT) AS bin, round(coalesce(any_value(k.k), 0) / (any_value(n.n) * 0.01), 6) AS observed, round(sum(m / 0.0034 * exp(-m * m / 0.0068)) / any_value(n.n), 6) AS predicted
-FROM c CROSS JOIN o CROSS JOIN n LEFT JOIN (SELECT floor(r / 0.01) AS b, count(*) AS k FROM o GROUP BY 1) k ON k.b = c.b GROUP BY 1""")
+SELECT CAST(c.b AS BIGINT) AS bin, round(coalesce(k.k, 0) / (n.n * 0.01), 6) AS observed, round(0.35 * m / {_V[0]!r} * exp(-m * m / (2 * {_V[0]!r})) + 0.65 * m / {_V[1]!r} * exp(-m * m / (2 * {_V[1]!r})), 6) AS predicted
+FROM c CROSS JOIN n LEFT JOIN (SELECT floor(r / 0.01) AS b, count(*) AS k FROM o GROUP BY 1) k ON k.b = c.b""")
 def step_length_densities(spark, d):
-    """Observed one-frame step lengths against a Rayleigh density; bins are a parameter, not data."""
+    """Observed one-frame step lengths against those of a mixture; bins are a parameter, not data."""
     s = T.steps(B.walks(spark, d)).filter("gap = 1")
     counts = s.groupBy(F.floor(F.col("length") / 0.01).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
     n = s.agg(F.count(F.lit(1)).alias("n"))
-    m = (F.col("bin") + 0.5) * 0.01
     bins = spark.range(15).withColumnRenamed("id", "bin").join(counts, "bin", "left").crossJoin(F.broadcast(n))  # one row
-    return bins.select("bin", R(F.coalesce("k", F.lit(0)) / (F.col("n") * 0.01), "observed"), R(m / 0.0034 * F.exp(-m * m / 0.0068), "predicted"))
+    shown = populations.step_density(bins.withColumn("length", (F.col("bin") + 0.5) * 0.01), _MIX, 0.02, 0.03)
+    return shown.select("bin", R(F.coalesce("k", F.lit(0)) / (F.col("n") * 0.01), "observed"), R("predicted"))
 
 
 @query(f"""{B.sql('tracks')}, p AS (SELECT particle, (particle % 10) / 10.0 AS p_immobile, count(*) AS n_points FROM tracks GROUP BY particle)
@@ -179,32 +176,40 @@ def population_attach(spark, d):
 
 @query(f"""{B.sql('locs')} SELECT CAST(frame // 100 AS INTEGER) - 2 AS movie_frame, 99 + ((frame // 100) - 2) * 100 + 200 AS shown_at, count(*) AS n FROM locs WHERE frame BETWEEN 200 AND 799 GROUP BY 1, 2""")
 def movie_fixed_range(spark, d):
-    l = B.locs(spark, d).filter(F.col("frame").between(200, 799)).withColumn("movie_frame", render.tumbling(F.col("frame"), 200, 100))  # noqa: E741
+    l = render.fixed_range(B.locs(spark, d), "frame", 200, 799).withColumn("movie_frame", render.tumbling(F.col("frame"), 200, 100))  # noqa: E741
     return l.groupBy("movie_frame", render.window_close(F.col("movie_frame").cast("long"), 200, 100, 100).alias("shown_at")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""{B.sql('locs')} SELECT frame FROM locs WHERE frame BETWEEN 100 AND 700 AND (frame - 100) % 50 = 0 GROUP BY frame""")
 def movie_stride(spark, d):
-    return B.locs(spark, d).filter("frame BETWEEN 100 AND 700 AND (frame - 100) % 50 = 0").select("frame").distinct()
+    return render.strided(B.locs(spark, d), "frame", 100, 700, 50).select("frame").distinct()
 
 
-@query(f"""{B.sql('walks')}, m AS (SELECT particle, median(sigma) AS s, count(*) AS n FROM walks GROUP BY particle) SELECT particle, round(s, 6) AS sigma_fit, n FROM m""")
+@query(f"""{FIT}, m AS (SELECT particle, median(sigma) AS s, count(*) AS n FROM walks GROUP BY particle),
+j AS (SELECT m.particle, s, n, CASE WHEN intercept > 0 THEN sqrt(intercept) / 2 * 1000 END AS shown FROM m LEFT JOIN f USING (particle))
+SELECT particle, round(s, 6) AS sigma_fit, n, round(shown, 3) AS sigma_msd, round(shown / s, 5) AS ratio FROM j""")
 def precision_per_trajectory(spark, d):
-    return B.walks(spark, d).groupBy("particle").agg(R(F.median("sigma"), "sigma_fit"), F.count(F.lit(1)).alias("n"))
+    w = B.walks(spark, d)
+    told = T.precision_check(w, T.msd_fit(T.msd(w, 5, 0.1), 0.03), F.col("sigma"))
+    return told.select("particle", R("sigma_fit"), "n", R("sigma_msd", places=3), R("ratio", places=5))
+
+
+@query(f"""WITH {_POINTS} SELECT a.loc AS a, b.loc AS b, b.frame - a.frame AS gap, round(power(a.x - b.x, 2) + power(a.y - b.y, 2), 6) AS sq
+FROM pts a JOIN pts b ON b.frame BETWEEN a.frame + 1 AND a.frame + 3 AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 1""")
+def spatial_range_join_with_memory(spark, d):
+    return link.candidates(_points(spark, d), 1.0, memory=2).select("a", "b", "gap", R("sq"))
 
 
 @query()
 def population_fit(spark, d):
     w = B.walks(spark, d).select("particle", "frame", (F.col("x") * 1000).alias("x_nm"), (F.col("y") * 1000).alias("y_nm"), F.col("sigma").alias("sigma_nm"))
-    _, post = populations.fit_populations(w, 0.03, 1)
+    _, post = populations.fit_populations(w, 0.03)  # one mobile population or two, by BIC
     return post
 
 
 @query()
 def spot_fit_patches(spark, d):
-    """Least-squares fits of the 7 x 7 corners of the 8 x 8 embeddings."""
-    import numpy as np
-    import pandas as pd
+    """Least-squares fits of the embeddings; a patch has a centre, so the last row and column of 8 are left out."""
 
     def run(batches):
         for f in batches:
@@ -218,4 +223,4 @@ def spot_fit_patches(spark, d):
 @query()
 def rcc_drift(spark, d):
     l = B.locs(spark, d).select("frame", (F.col("x") * 100).alias("x_nm"), (F.col("y") * 100).alias("y_nm"))  # noqa: E741
-    return D.rcc(l, 1000, 250, 50.0, 50.0, 400.0, 1e9)
+    return D.rcc(l, 1000, 250, 50.0, 50.0, 400.0, 30.0)

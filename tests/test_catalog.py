@@ -47,12 +47,12 @@ def test_query(spark, con, name):
 def test_render_gaussian_uses_all_rows(spark):
     """Every localization adds 1, or less where its Gaussian leaves the field."""
     n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
-    total = sum(r.value for r in catalog.QUERIES["render_gaussian"](spark, SF).collect())
+    total = sum(r.value for r in catalog.QUERIES["render_gaussian_local"](spark, SF).collect())
     assert 0.95 * n < total <= n + 0.01
 
 
 def test_additive_blend_uses_all_rows(spark):
     """Blue counts the localizations in the field; no pixel of the smallest table clips."""
     n = catalog.QUERIES["render_histogram"](spark, SF).groupBy().sum("value").first()[0]
-    out = catalog.QUERIES["additive_blend_whole"](spark, SF).collect()
+    out = catalog.QUERIES["additive_blend"](spark, SF).collect()
     assert max(r.b for r in out) < 255 and sum(r.b for r in out) == n

@@ -275,6 +275,10 @@ def test_selection(spark, tmp_path):
     cache = sel.LinkCache(str(tmp_path))
     a, b = cache.link(df, 1.0), cache.link(df, 1.0)
     assert a.inputFiles() == b.inputFiles() and cache.key(df, search=1.0) != cache.key(df, search=2.0)
+    for name, at in (("one", 0), ("other", 100)):  # two tables of one schema
+        spark.createDataFrame([(at + k, k, 1.0, 1.0) for k in range(3)], "loc long, frame long, x double, y double").write.parquet(str(tmp_path / name))
+    one, other = (cache.link(spark.read.parquet(str(tmp_path / name)), 1.0) for name in ("one", "other"))
+    assert {r.particle for r in one.collect()} == {0} and {r.particle for r in other.collect()} == {100}
     tip = sel.tooltip(spark.createDataFrame([(1, 0.5, 2)], "particle long, d double, n long"), spark.createDataFrame([(1, 3), (1, 7)], "particle long, frame long"), 1).first()
     assert (tip.start, tip.end, tip.span, tip.points, tip.d) == (3, 7, 5, 2, 0.5)
     t = spark.createDataFrame([(1, 0, 1.0, 1.0, 5.0, 9.0), (1, 1, 1.0, 1.0, 5.0, 9.0), (2, 0, 2.0, 2.0, 5.0, 9.0)], "particle long, frame long, x double, y double, sigma double, photons double")
@@ -314,3 +318,58 @@ def test_synthetic(spark):
     assert df.filter("frame < 0 OR frame > 99").count() == 0 and df.select("particle").distinct().count() == 50
     movie = spark.createDataFrame([(0, 1, 1, 2.0), (1, 1, 1, 3.0)], "movie_frame int, row int, col int, value double")
     assert sinks.projection(movie).first()["value"] == 5.0 and sinks.projection(movie, True).first()["value"] == 3.0
+
+
+def test_splat_against_a_plain_sum(spark):
+    from glimmer.operators import render
+
+    rows = [(int(k), float(rng.uniform(-2, 42)), float(rng.uniform(-2, 32)), float(s), float(w)) for k, s, w in zip(rng.integers(0, 2, 300), rng.choice([0.1, 0.7, 2.5, 40.0], 300), rng.uniform(0, 3, 300), strict=True)]
+    rows += [(0, None, 1.0, 1.0, 1.0), (0, 1.0, 1.0, float("nan"), 1.0), (1, 5.0, 5.0, None, 2.0), (1, 5.0, 5.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "m int, x double, y double, s double, w double").repartition(3)
+    want = np.zeros((2, 60, 80))
+    for m, x, y, s, w in rows:
+        if x is None or w is None:
+            continue
+        fx, fy = (x + 0.5) * 2, (y + 0.5) * 2
+        s = min(max(s * 2 if s is not None and s == s else 0.5, 0.5), 64 / 3)
+        r = math.ceil(3 * s)
+        ax, ay = math.floor(fx) + np.arange(-r, r + 1), math.floor(fy) + np.arange(-r, r + 1)
+        gx, gy = np.exp(-((ax + 0.5 - fx) ** 2) / (2 * s * s)), np.exp(-((ay + 0.5 - fy) ** 2) / (2 * s * s))
+        full = w * gy[:, None] * gx[None, :] / gx.sum() / gy.sum()
+        oy, ox = (ay >= 0) & (ay < 60), (ax >= 0) & (ax < 80)
+        want[m][np.ix_(ay[oy], ax[ox])] += full[np.ix_(oy, ox)]
+    got = np.zeros_like(want)
+    for r in render.splat(df, 40, 30, 2, F.col("s"), F.col("w"), ("m",)).collect():
+        got[r.m, r.row, r.col] = r.value
+    assert np.allclose(got, want, atol=1e-9)
+    assert render.splat(df.limit(0), 40, 30, 2, F.col("s")).count() == 0
+
+
+def test_thin_windows_are_bridged(spark):
+    rows = [(float(t), 0.1 * t, -0.2 * t) for t in [*range(0, 50, 5), *range(500, 550, 5)]]
+    record = spark.createDataFrame(rows, "t double, dx double, dy double")
+    out = drift.smoothed(record, 5.0, 5.0).orderBy("k").collect()
+    assert [r.k for r in out] == list(range(len(out))) and all(abs(r.dx - 0.1 * r.t) < 1e-6 and abs(r.dy + 0.2 * r.t) < 1e-6 for r in out[:-1])
+    plain = drift.smoothed(record, 0.0, 5.0).filter("t = 20").first()
+    assert plain.dx == pytest.approx(2.0)
+
+
+def test_bad_pairs_are_left_out(spark):
+    true = np.array([[0, 0], [1, 2], [3, -1], [5, 5.0]])
+    ends = np.array([(a, b) for a in range(4) for b in range(a)])
+    shifts = np.array([true[b] - true[a] for a, b in ends])
+    shifts[2] += 50
+    assert np.allclose(drift.solve_pairs(ends, shifts, 4, 1.0), true)
+    with pytest.raises(ValueError, match="not connected"):
+        drift.solve_pairs(np.array([(0, 1)]), np.zeros((1, 2)), 3, 1.0)
+    one = drift.rcc_per_frame(spark.range(3).select(F.col("id").alias("frame")), spark.createDataFrame([(0, 1.0, 2.0, 3.0)], "segment int, centre double, dx double, dy double"))
+    assert {(r.dx, r.dy) for r in one.collect()} == {(2.0, 3.0)}
+
+
+def test_ranges_and_rescaled_settings(spark):
+    from glimmer.operators import render
+
+    with pytest.raises(ValueError, match="past its end"):
+        render.fixed_range(spark.range(3).withColumnRenamed("id", "frame"), "frame", 5, 4)
+    assert tracks.binned_settings(4, 100.0, 20.0) == (400.0, 5.0)
+    assert tables.json_object('{"a": 1', 0) is None and tables.json_object('{"a": {"b": "}"}} x', 0) == '{"a": {"b": "}"}}'
