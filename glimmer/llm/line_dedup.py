@@ -7,7 +7,9 @@ the size of which goes with the length of the line), and probes for those of eve
 from its own down to ``edits`` less, at the starts that the position bounds allow.  Keys that one line alone has are
 dropped by an aggregation that Spark combines map-side; the lines of the remaining keys
 are compared, inside the join, by a bit-parallel recurrence over the band of diagonals that ``edits``
-allows, on what is left after the common beginning and end are cut off.
+allows, on what is left after the common beginning and end are cut off.  Before that, two masks
+of 64 bits are compared that say which pairs of neighbouring characters a line has: an edit adds
+and removes at most two of them each, so more than 4 * ``edits`` different bits mean more edits.
 
 Everything is a SQL expression.
 """
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import as_text, join_groups, small, stored
+from glimmer.llm.common import as_text, finished, join_groups, small, stored
 
 EDITS = 2
 #: Shorter lines, in code points, are only duplicates if they are equal.
@@ -155,6 +157,12 @@ def within(x: Column, y: Column, edits: int) -> Column:
     return _middles(x, y, lambda s: _let(F.struct(F.concat(pad, _characters(s["x"]), pad).alias("x"), _characters(s["y"]).alias("y")), run))
 
 
+def _mask(line: Column) -> Column:
+    """A bit for each pair of neighbouring characters, by its hash; the end counts as one."""
+    bits = _let(F.split(line, ""), lambda c: F.transform(c, lambda x, i: F.pmod(F.xxhash64(x, F.coalesce(F.get(c, i + 1), F.lit(""))), F.lit(64)).cast("int")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b)))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     each = docs.select("id", "r", F.posexplode(F.split("body", "\n", -1)).alias("no", "line"))
     return each.filter(F.trim("line") != "")
@@ -170,16 +178,18 @@ def line_links(docs: DataFrame, edits: int = EDITS, least: int = LEAST_FUZZY) ->
     held = stored(keyed.join(small(live, live.count()), "key").distinct(), "line-held")
     wanted = stored(held.select("line_id").distinct(), "line-wanted")
     texts = lines.withColumn("line_id", F.xxhash64("line")).join(small(wanted, wanted.count()), "line_id").distinct()
-    texts = stored(texts, "line-texts")
+    texts = stored(texts.withColumn("mask", _mask(F.col("line"))), "line-texts")
     spelled = held.join(texts, "line_id")
     x, y = F.col("x"), F.col("y")
-    probed = spelled.filter("indexed").select("key", F.col("line").alias("x")).join(
-        spelled.select(F.col("key"), F.col("line").alias("y"), F.col("indexed").alias("both")), "key")
+    probed = spelled.filter("indexed").select("key", F.col("line").alias("x"), F.col("mask").alias("mx")).join(
+        spelled.select(F.col("key"), F.col("line").alias("y"), F.col("mask").alias("my"), F.col("indexed").alias("both")), "key")
     # Two lines that are indexed by one key meet twice there; once is enough.
-    near = (x != y) & (F.abs(F.char_length(x) - F.char_length(y)) <= edits) & (~F.col("both") | (x < y)) & within(x, y, edits)
+    alike = F.bit_count(F.col("mx").bitwiseXOR(F.col("my"))) <= 4 * edits
+    near = alike & (x != y) & (F.abs(F.char_length(x) - F.char_length(y)) <= edits) & (~F.col("both") | (x < y)) & within(x, y, edits)
     return stored(probed.filter(near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "line-near")
 
 
+@finished("line-result")
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_FUZZY) -> DataFrame:
     """One row per document: id, r (hash of id and text), n_lines, n_removed, n_links, removed.
 
