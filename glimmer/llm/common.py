@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -21,9 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set, and
+    only where both are one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="glimmer-")
         atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -36,9 +40,42 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that were stored inside ``finished`` calls, innermost last.
+_scratch: list[list[str]] = []
+
+
+def finished(name: str):
+    """Store what a function returns under a name, then delete the tables it stored before."""
+
+    def wrap(fn):
+        @functools.wraps(fn)
+        def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+            _scratch.append([])
+            made = []
+            try:
+                out = fn(df, *args, **kwargs)
+                made, kept = list(_scratch[-1]), stored(out, name)
+                _scratch[-1] = [p for p in _scratch[-1] if p not in made]
+            finally:
+                left = _scratch.pop()
+                if _scratch:  # the result is a table of the function around
+                    _scratch[-1] += left
+                jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+                for p in made:
+                    path = jvm.org.apache.hadoop.fs.Path(p)
+                    path.getFileSystem(conf).delete(path, True)
+            return kept
+
+        return run
+
+    return wrap
+
+
 def as_text(column: str | Column) -> Column:
     """Null text counts as empty."""
     c = F.col(column) if isinstance(column, str) else column

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import join_groups, stored
+from glimmer.llm.common import finished, join_groups, stored
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -36,6 +36,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
+@finished("components")
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link; the root is the smallest node reached.
 

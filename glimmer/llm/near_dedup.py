@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.llm import textkit
-from glimmer.llm.common import arrow_chunks, i64, join_groups, small, stored
+from glimmer.llm.common import arrow_chunks, finished, i64, join_groups, small, stored
 from glimmer.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -297,6 +297,7 @@ def _links(texts: DataFrame, docs: DataFrame, weights) -> DataFrame:
     return stored(met.filter("linked").select("a", "b").unionByName(again.filter("linked").select("a", "b")), "near-links")
 
 
+@finished("near-result")
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, class_id (smallest id of the class), class_size, kept.
 
