@@ -16,6 +16,8 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             where = tempfile.mkdtemp(prefix="glimmer-")
             atexit.register(shutil.rmtree, where, True)
         context.setCheckpointDir(where)
