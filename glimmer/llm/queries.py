@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm import chat, line_dedup, near_dedup, packing, quality, secrets, substring_dedup, toxicity
+from glimmer.llm import chat, divergence, html_extract, line_dedup, near_dedup, packing, quality, secrets, substring_dedup, toxicity
 from glimmer.llm import decontaminate as leaks
 from glimmer.llm import exact_dedup as exact
 from glimmer.llm.common import table
@@ -88,6 +88,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("kept", "kept_sha256")
 
 
+def op11_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -99,6 +108,8 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_html_extract": op11_html_extract,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 _SPACES = r"[\x20\x09-\x0D]"
@@ -163,5 +174,30 @@ named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS i
 SELECT dw.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(named.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+held AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM held GROUP BY ALL HAVING count(*) >= 3),
+cells AS (SELECT lang, source, term, sum(held.n) AS n FROM held JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+sizes AS (SELECT lang, source, coalesce(sum(n), 0) AS n FROM groups LEFT JOIN cells USING (lang, source) GROUP BY ALL),
+vocabulary AS (SELECT lang, count(term) AS v, coalesce(sum(n), 0) AS n FROM (SELECT DISTINCT lang FROM groups) LEFT JOIN kept USING (lang) GROUP BY ALL),
+p AS (
+  SELECT lang, sizes.source AS source, kept.term AS term, coalesce(cells.n, 0) AS n,
+         1 + 1000000000 * (coalesce(cells.n, 0)::HUGEINT + 1) // (sizes.n + v)::HUGEINT AS p,
+         1 + 1000000000 * (kept.n::HUGEINT + 1) // (vocabulary.n + v)::HUGEINT AS q
+  FROM sizes JOIN vocabulary USING (lang) JOIN kept USING (lang) LEFT JOIN cells ON cells.lang = sizes.lang AND cells.source = sizes.source AND cells.term = kept.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS f FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+both_parts AS (
+  SELECT a.lang AS lang, a.source AS source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+  FROM groups AS a JOIN groups AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM both_parts)
+WHERE part = 'pair' OR rank <= 200
 """,
 }
