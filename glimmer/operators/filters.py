@@ -26,13 +26,16 @@ def _within(df: DataFrame, name: str, low: float | None, high: float | None) ->
     return reduce(and_, parts)
 
 
-def range_filter(df: DataFrame | None, bounds: Bounds) -> DataFrame | None:
-    """Rows inside all bounds: both ends included, a side may be open, NaN and NULL are outside,
-    an unknown column is ignored.  No table gives no table."""
-    if df is None:
-        return None
+def inside(df: DataFrame, bounds: Bounds) -> Column:
+    """Whether a row is inside all bounds: both ends included, a side may be open, NaN and NULL are
+    outside, an unknown column is ignored.  Never NULL."""
     parts = [_within(df, k, lo, hi) for k, (lo, hi) in bounds.items() if k in df.columns and (lo is not None or hi is not None)]
-    return df.filter(reduce(and_, parts)) if parts else df
+    return reduce(and_, parts) if parts else F.lit(True)
+
+
+def range_filter(df: DataFrame | None, bounds: Bounds) -> DataFrame | None:
+    """Rows inside all bounds.  No table gives no table."""
+    return None if df is None else df.filter(inside(df, bounds))
 
 
 def roi_filter(df: DataFrame, roi_px: tuple[float, float, float, float], pixel_nm: float, x: str = "x_nm", y: str = "y_nm") -> DataFrame:
@@ -80,9 +83,10 @@ def is_sigma(name: str) -> bool:
     return base == "sigma" or base.startswith("sigma") and (base[5:6] in "_1234567890")
 
 
-def histograms(df: DataFrame, column: str, width: float, kept: Column) -> DataFrame:
-    """(bin, n_all, n_kept): a column's histogram over all rows and over those that a filter keeps."""
-    return df.groupBy(F.floor(F.col(column) / width).alias("bin")).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(kept).alias("n_kept"))
+def histograms(df: DataFrame, column: str | Column, width: float, kept: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, bin, n_all, n_kept): a column's histogram over all rows and over those that a filter keeps."""
+    value = F.col(column) if isinstance(column, str) else column
+    return df.groupBy(*by, F.floor(value / width).alias("bin")).agg(F.count(F.lit(1)).alias("n_all"), F.count_if(kept).alias("n_kept"))
 
 
 def share_above(df: DataFrame, column: str, cutoff: float) -> DataFrame:

@@ -6,19 +6,25 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only
+    where none is set and both are one process."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="glimmer-")
+        atexit.register(shutil.rmtree, where, True)
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage of a table in the folder of ``spark.checkpoint.dir``; one of our own only
-    where none is set."""
+    """End the lineage of a table by a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            where = tempfile.mkdtemp(prefix="glimmer-")
-            atexit.register(shutil.rmtree, where, True)
-        context.setCheckpointDir(where)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
