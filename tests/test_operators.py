@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from glimmer.functions import num, scalars
 from glimmer.operators import drift, filters, link, populations, register, render, spots, timejoin, tracks
 from glimmer.plans import session
-from glimmer.sources import sinks, tables
+from glimmer.sources import sinks, stack, tables
 from glimmer.streaming import windows
 
 rng = np.random.default_rng(5)
@@ -106,7 +106,7 @@ def spot_frame(at, size=48, amp=300.0, sigma=1.3, bg=10.0):
 
 def test_localizations(spark):
     at = [(10.3, 12.8), (30.6, 20.1), (22.0, 37.4)]
-    frames = spark.createDataFrame([(k, 48, 48, spot_frame(at).tobytes()) for k in range(6)], tables.STACK_SCHEMA)
+    frames = spark.createDataFrame([(k, 48, 48, spot_frame(at).tobytes()) for k in range(6)], stack.STACK)
     for backend in ("fast", "mle", "gpu"):
         out = spots.localizations(frames, 800.0, 7, backend).toPandas()
         assert len(out) == 18 and out["frame"].nunique() == 6
@@ -211,7 +211,7 @@ def test_sidecars(spark, tmp_path):
 def test_tiff_round_trip(spark, tmp_path):
     image = spark.createDataFrame([(1, 2, 3.5)], "row int, col int, value double")
     sinks.save_render(str(tmp_path / "a.tif"), image, 4, 5, {"k": 1})
-    back = tables.tiff_stack(spark, str(tmp_path / "a.tif")).first()
+    back = stack.stack(spark, str(tmp_path / "a.tif")).first()
     got = np.frombuffer(bytes(back["pixels"])).reshape(4, 5)
     assert got[1, 2] == 3.5 and got.sum() == 3.5 and json.load(open(tmp_path / "a.tif.json")) == {"k": 1}
 
@@ -302,7 +302,7 @@ def test_growth_record(spark, tmp_path):
     assert r.a == pytest.approx(0.1) and abs(r.b) < 1e-12 and r.n == 200.0 and r.c == pytest.approx(1 / 6) and r.t == "01:02:05"
     image = np.zeros((20, 20))
     image[5, 5] = 1.0
-    frames = spark.createDataFrame([(k, 20, 20, image.tobytes()) for k in range(4)], tables.STACK_SCHEMA)
+    frames = spark.createDataFrame([(k, 20, 20, image.tobytes()) for k in range(4)], stack.STACK)
     moved = register.virtual_shift(frames, spark.createDataFrame([(k, 2.0, 1.0) for k in range(4)], "frame int, dx double, dy double")).first()
     assert np.frombuffer(bytes(moved["pixels"])).reshape(20, 20)[6, 7] == 1.0
     assert {r.n for r in register.averaged(frames, 3).collect()} == {3, 1}
