@@ -1,10 +1,15 @@
-"""Linking of localizations into trajectories by nearest positions in consecutive frames.
+"""Linking of localizations into trajectories by nearest positions in later frames.
 
 Candidate links come from a grid-cell equi-join.  Candidates that share a point form a
 subnet; a subnet of one link is final, the others are solved for the least sum of squared
-displacements, a point without a link costing the search range squared.  With a memory,
-a point may wait for that many frames, which makes each frame depend on the one before:
-then an acquisition (``by``) is one group, read in frame order.
+displacements, a point without a link costing the search range squared.
+
+With a memory, a point may wait for that many frames, so what a frame can link depends on what
+the frames before it have linked.  That order is not run through one by one: all frames are
+solved at once as if there were no memory, and then again wherever the links of the round before
+open or close a candidate, until none does.  The first frame is right after one round, and a
+frame one round after those that it depends on, so the links that stay are those of the
+frame-by-frame order.
 """
 
 from __future__ import annotations
@@ -13,15 +18,14 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from glimmer.session import cut
 
-#: Points of one side of a subnet beyond which linking stops with an error.
-MOST_SUBNET = 30
-
+#: Groups of frames, for each shuffle partition, whose contested subnets are solved in one call.
+SHARES = 4
 
 def candidates(points: DataFrame, search: float, by: tuple[str, ...] = (), memory: int = 0) -> DataFrame:
     """(by, frame, a, b, gap, sq): pairs of points (by their ``loc``) within the range, b in one of
@@ -36,90 +40,130 @@ def candidates(points: DataFrame, search: float, by: tuple[str, ...] = (), memor
     return a.join(b, [*by, "frame", "cx", "cy"]).withColumn("sq", sq).filter(F.col("sq") <= search * search).select(*by, "frame", "a", "b", "gap", "sq")
 
 
+def _subnets(cost: dict[tuple[int, int], float]) -> list[list[tuple[int, int]]]:
+    """The candidates of each connected set of points, in order."""
+    of: dict[tuple[str, int], tuple[str, int]] = {}
+
+    def top(p):
+        while of.setdefault(p, p) != p:
+            of[p] = p = of[of[p]]
+        return p
+
+    for a, b in cost:
+        i, j = top(("a", a)), top(("b", b))
+        if i != j:
+            of[max(i, j)] = min(i, j)
+    nets: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for a, b in sorted(cost):
+        nets.setdefault(top(("a", a)), []).append((a, b))
+    return list(nets.values())
+
+
+def _cheapest(gain: np.ndarray) -> np.ndarray:
+    """For each row its column, so that the sum of the entries is least: shortest augmenting paths,
+    one row after the other.  There are at least as many columns as rows."""
+    n, m = gain.shape
+    price, level = np.zeros(m + 1), np.zeros(n)
+    row_of = np.full(m + 1, -1)  # the last column is where a new row starts
+    for i in range(n):
+        row_of[m], j = i, m
+        best, before, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        while row_of[j] >= 0:
+            done[j] = True
+            reached = gain[row_of[j]] - level[row_of[j]] - price[:m]
+            better = ~done[:m] & (reached < best)
+            best[better], before[better] = reached[better], j
+            free = np.where(done[:m], np.inf, best)
+            to = int(free.argmin())
+            step = free[to]
+            level[row_of[done]] += step
+            price[done] -= step
+            best[~done[:m]] -= step
+            j = to
+        while j != m:
+            row_of[j], j = row_of[before[j]], before[j]
+    out = np.empty(n, np.int64)
+    for j in range(m):
+        if row_of[j] >= 0:
+            out[row_of[j]] = j
+    return out
+
+
 def assign(cost: dict[tuple[int, int], float], lost: float) -> list[tuple[int, int]]:
     """Links of least total cost among candidates, an unlinked source costing ``lost``.
 
-    The candidates fall into connected subnets; each is searched exactly, branch and bound.
+    Each connected subnet is solved exactly, in time of the third power of its points.
     """
-    sources: dict[int, list[tuple[float, int]]] = {}
-    touching: dict[int, list[int]] = {}
-    for (a, b), c in cost.items():
-        sources.setdefault(a, []).append((c, b))
-        touching.setdefault(b, []).append(a)
-    out, left = [], set(sources)
-    while left:
-        net, stack = [], [min(left)]
-        left.discard(stack[0])
-        while stack:
-            a = stack.pop()
-            net.append(a)
-            for _, b in sources[a]:
-                for other in touching[b]:
-                    if other in left:
-                        left.discard(other)
-                        stack.append(other)
-        if len(net) > MOST_SUBNET:
-            raise ValueError(f"a subnet of {len(net)} points: the search range is too large")
-        best, chosen = np.inf, {}
-        options = [(a, sorted(sources[a]) + [(lost, None)]) for a in sorted(net, key=lambda a: (len(sources[a]), a))]
-        floor = [0.0]
-        for _, o in reversed(options):
-            floor.insert(0, floor[0] + o[0][0])
-
-        def search(i: int, total: float, used: dict) -> None:
-            nonlocal best, chosen
-            if total + floor[i] >= best:
-                return
-            if i == len(options):
-                best, chosen = total, dict(used)
-                return
-            a, choice = options[i]
-            for c, b in choice:
-                if b is None:
-                    search(i + 1, total + c, used)
-                elif b not in used:
-                    used[b] = a
-                    search(i + 1, total + c, used)
-                    del used[b]
-
-        search(0, 0.0, {})
-        out += [(a, b) for b, a in chosen.items()]
+    out = []
+    for net in _subnets(cost):
+        if len({a for a, _ in net}) == 1 or len({b for _, b in net}) == 1:
+            out.append(min(net, key=lambda e: (cost[e], e)))
+            continue
+        sources, targets = (sorted({e[k] for e in net}) for k in (0, 1))
+        at = {a: i for i, a in enumerate(sources)}, {b: j for j, b in enumerate(targets)}
+        # A source has a column of its own for being lost; what cannot be linked costs more than all that can.
+        table = np.full((len(sources), len(targets) + len(sources)), (lost + 1) * (len(sources) + 1))
+        table[np.arange(len(sources)), len(targets) + np.arange(len(sources))] = lost
+        for a, b in net:
+            table[at[0][a], at[1][b]] = cost[a, b]
+        out += [(a, targets[j]) for a, j in zip(sources, _cheapest(table), strict=True) if j < len(targets)]
     return out
 
 
-def _frame_links(points: DataFrame, search: float, by: tuple[str, ...]) -> DataFrame:
-    """(a, b): the links between consecutive frames, solved by (by, frame) group of contested pairs."""
-    c = candidates(points, search, by).drop("gap")
-    alone_a = c.groupBy("a").agg(F.count(F.lit(1)).alias("na"))
-    alone_b = c.groupBy("b").agg(F.count(F.lit(1)).alias("nb"))
-    counted = c.join(alone_a, "a").join(alone_b, "b")
-    free = counted.filter("na = 1 AND nb = 1").select("a", "b")
-
-    def solve(key, f: pd.DataFrame) -> pd.DataFrame:
-        cost = {(int(a), int(b)): float(s) for a, b, s in zip(f["a"], f["b"], f["sq"], strict=True)}
-        return pd.DataFrame(assign(cost, search * search), columns=["a", "b"])
+def _solved(edges: DataFrame, search: float, by: tuple[str, ...]) -> DataFrame:
+    """(by, frame, a, b): the links of each frame among candidates (by, frame, a, b, sq).
 
-    contested = counted.filter("na > 1 OR nb > 1").select(*by, "frame", "a", "b", "sq")
-    return free.unionByName(contested.groupBy(*by, "frame").applyInPandas(solve, "a long, b long"))
+    What nothing competes for in its frame stays in the JVM.  The rest is dealt by frame into
+    ``SHARES`` groups for each shuffle partition, and a group's subnets are solved one by one.
+    """
+    names = [*by, "frame", "a", "b"]
+    count = lambda *key: F.count(F.lit(1)).over(Window.partitionBy(*key))
+    counted = edges.withColumn("na", count(*by, "frame", "a")).withColumn("nb", count(*by, "frame", "b"))
+    schema = StructType([edges.schema[c] for c in names])
+
+    def solve(f: pd.DataFrame) -> pd.DataFrame:
+        cost = {((frame, a), b): sq for frame, a, b, sq in zip(f["frame"].tolist(), f["a"].tolist(), f["b"].tolist(), f["sq"].tolist(), strict=True)}
+        found = pd.DataFrame([(*a, b) for a, b in assign(cost, search * search)], columns=["frame", "a", "b"]).astype(f.dtypes[["frame", "a", "b"]])
+        return found.merge(f, on=["frame", "a", "b"])[names]
+
+    contested = counted.filter("na > 1 OR nb > 1").select(*names, "sq")
+    groups = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SHARES
+    by_python = contested.groupBy(F.pmod(F.xxhash64(*by, "frame"), F.lit(groups)).alias("_some")).applyInPandas(solve, schema)
+    return counted.filter("na = 1 AND nb = 1").select(names).unionByName(by_python)
+
+
+def links(points: DataFrame, search: float, memory: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b): each point and the next one of its trajectory."""
+    edges = candidates(points, search, by, memory)
+    if not memory:
+        return _solved(edges, search, by).select("a", "b")
+    edges = cut(edges)
+    found, before = cut(_solved(edges.filter("gap = 1"), search, by)), None
+    while True:
+        now = cut(found.groupBy("a").agg(F.min("frame").alias("is")))
+        state = edges.join(now if before is None else now.join(before, "a", "full"), "a", "left")
+        is_open = F.col("is").isNull() | (F.col("is") >= F.col("frame"))  # not linked to a frame before
+        was_open = F.col("gap") == 1 if before is None else F.col("was").isNull() | (F.col("was") >= F.col("frame"))
+        frames = cut(state.filter(is_open != was_open).select(*by, "frame").distinct())
+        if frames.isEmpty():
+            return found.select("a", "b")
+        again = state.filter(is_open).join(frames, [*by, "frame"], "left_semi").select(edges.columns)
+        found = cut(found.join(frames, [*by, "frame"], "left_anti").unionByName(_solved(again, search, by)))
+        before = now.withColumnRenamed("is", "was")
 
 
 def link(points: DataFrame, search: float, memory: int = 0, least: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
-    """``points`` (loc LONG unique, frame, x, y) with ``particle``: the smallest ``loc`` of its
-    trajectory; trajectories of fewer than ``least`` points are left out."""
-    if memory:
-        linked = _with_memory(points, search, memory, by)
-    else:
-        jump = _frame_links(points, search, by).select(F.col("b").alias("loc"), F.col("a").alias("root")).persist()
-        roots = jump
-        while True:  # pointer doubling: the number of rounds is the logarithm of the longest trajectory
-            step = roots.select(F.col("loc").alias("root"), F.col("root").alias("next"))
-            new = cut(roots.join(step, "root", "left").select("loc", F.coalesce("next", "root").alias("root")))
-            changed = new.join(roots.withColumnRenamed("root", "old"), "loc").filter("root <> old").isEmpty()
-            roots = new
-            if changed:
-                break
-        jump.unpersist()
-        linked = points.join(roots, "loc", "left").withColumn("particle", F.coalesce("root", "loc")).drop("root")
+    """``points`` (loc LONG unique, frame, x, y) with ``particle``: the ``loc`` of the first point of
+    its trajectory; trajectories of fewer than ``least`` points are left out."""
+    roots = cut(links(points, search, memory, by).select(F.col("b").alias("loc"), F.col("a").alias("root")))
+    while True:  # pointer doubling: the number of rounds is the logarithm of the longest trajectory
+        step = roots.select(F.col("loc").alias("root"), F.col("root").alias("next"))
+        new = cut(roots.join(step, "root", "left").select("loc", F.coalesce("next", "root").alias("root")))
+        changed = new.join(roots.withColumnRenamed("root", "old"), "loc").filter("root <> old").isEmpty()
+        roots = new
+        if changed:
+            break
+    linked = points.join(roots, "loc", "left").withColumn("particle", F.coalesce("root", "loc")).drop("root")
     if least > 1:
         linked = linked.join(linked.groupBy("particle").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("particle"), "particle", "left_semi")
     return linked
@@ -157,14 +201,3 @@ def link_frames(frames: list[int], locs: list[int], xy: np.ndarray, search: floa
             live[p] = (f, xy[i])
         start = end
     return out
-
-
-def _with_memory(points: DataFrame, search: float, memory: int, by: tuple[str, ...]) -> DataFrame:
-    schema = StructType([*points.schema.fields, StructField("particle", LongType())])
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["frame", "loc"])
-        ids = link_frames(f["frame"].tolist(), f["loc"].tolist(), f[["x", "y"]].to_numpy(float), search, memory)
-        return f.assign(particle=f["loc"].map(ids))
-
-    return points.groupBy(*(by or [F.lit("all")])).applyInPandas(run, schema)

@@ -97,6 +97,40 @@ def spatial_range_join(spark, d):
     return link.candidates(_points(spark, d), 1.0).select("a", "b", R("sq"))
 
 
+def _crowded_sql(frames: int = 6) -> str:
+    """The frame-by-frame order as one step a frame: at most two points of a cell are in a frame, so
+    the best links of a step are one candidate or two that share no point."""
+    steps = ["""p AS (
+  SELECT event_id AS loc, user_id * 1000 + i // 12 AS cell, i % 12 // 2 AS frame, ((event_id * 7919) % 1999993) / 1000003.0 AS x, ((event_id * 104729) % 1999979) / 1000003.0 AS y
+  FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i FROM events) WHERE event_id % 5 <> 0),
+l0 AS (SELECT loc AS a, loc AS b, cell FROM p WHERE false)"""]
+    for k in range(1, frames):
+        steps.append(f"""e{k} AS (
+  SELECT b.cell AS cell, a.loc AS a, b.loc AS b, 1 - power(a.x - b.x, 2) - power(a.y - b.y, 2) AS gain
+  FROM p AS a JOIN p AS b USING (cell)
+  WHERE b.frame = {k} AND (a.frame = {k - 1} OR a.frame = {k - 2} AND a.loc NOT IN (SELECT a FROM l{k - 1})) AND power(a.x - b.x, 2) + power(a.y - b.y, 2) <= 1),
+o{k} AS (
+  SELECT cell, a, b, NULL::BIGINT AS a2, NULL::BIGINT AS b2, gain FROM e{k}
+  UNION ALL SELECT e.cell, e.a, e.b, f.a, f.b, e.gain + f.gain FROM e{k} AS e JOIN e{k} AS f ON e.cell = f.cell AND e.b < f.b AND e.a <> f.a),
+best{k} AS (SELECT * FROM o{k} QUALIFY row_number() OVER (PARTITION BY cell ORDER BY gain DESC) = 1),
+l{k} AS (SELECT a, b, cell FROM best{k} UNION ALL SELECT a2, b2, cell FROM best{k} WHERE a2 IS NOT NULL)""")
+    every = " UNION ALL ".join(f"SELECT a, b FROM l{k}" for k in range(1, frames))
+    return f"""WITH RECURSIVE {", ".join(steps)}, links AS ({every}),
+r AS (SELECT loc, loc AS particle FROM p WHERE loc NOT IN (SELECT b FROM links) UNION ALL SELECT l.b, r.particle FROM r JOIN links AS l ON l.a = r.loc)
+SELECT loc, particle FROM r"""
+
+
+@query(_crowded_sql())
+def link_crowded_with_gaps(spark, d):
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1
+    e = B.table(spark, d, "events").select("event_id", "user_id", i.alias("i")).filter("event_id % 5 <> 0")
+    points = e.select(
+        F.col("event_id").alias("loc"), (F.col("user_id") * 1000 + F.floor(F.col("i") / 12)).alias("cell"), F.floor(F.col("i") % 12 / 2).alias("frame"),
+        (F.col("event_id") * 7919 % 1999993 / 1000003.0).alias("x"), (F.col("event_id") * 104729 % 1999979 / 1000003.0).alias("y"),
+    )
+    return link.link(points, 1.0, memory=1, by=("cell",)).select("loc", "particle")
+
+
 @query(f"""{B.sql('locs')}, i AS (SELECT {PIX}, count(*) AS value FROM locs WHERE {IN_FIELD} GROUP BY 1, 2)
 SELECT 127 - col AS "row", "row" AS col, CAST(least(greatest(floor(value / 40.0 * 255), 0), 255) AS INTEGER) AS shown FROM i WHERE "row" BETWEEN 10 AND 99""")
 def image_rotate_crop_stretch(spark, d):
