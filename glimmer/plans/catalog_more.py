@@ -65,6 +65,39 @@ def drift_smoothed(spark, d):
     return D.smoothed(B.record(spark, d), SIGMA, GRID).filter("dx IS NOT NULL").select("k", R("dx", places=5))
 
 
+@query(f"""{B.sql('record')}, r AS (SELECT * FROM record WHERE t < 2000 OR t > 8000 OR t % 1000 = 0), z AS (SELECT min(t) AS t0, max(t) AS t1 FROM r),
+b AS (SELECT t0, CAST(round((t - t0) / {GRID}) AS BIGINT) AS k, count(*) * 1.0 AS s0, sum((t - t0) / {GRID}) AS s1, sum(power((t - t0) / {GRID}, 2)) AS s2, sum(dx) AS x0, sum((t - t0) / {GRID} * dx) AS x1 FROM r, z GROUP BY 1, 2),
+g AS (SELECT d, exp(-d * d / 50.0) AS v FROM (SELECT unnest(range(-{_REACH}, {_REACH + 1})) AS d)),
+w AS (SELECT k + d AS k, sum(s0 * v) / any_value(n) AS s0, sum(s1 * v) / any_value(n) AS s1, sum(s2 * v) / any_value(n) AS s2, sum(x0 * v) / any_value(n) AS x0, sum(x1 * v) / any_value(n) AS x1
+ FROM b, g, (SELECT sum(v) AS n FROM g) GROUP BY 1),
+f AS (SELECT k, (s2 * x0 - s1 * x1) / (s0 * s2 - s1 * s1) + (s0 * x1 - s1 * x0) / (s0 * s2 - s1 * s1) * k AS dx FROM w WHERE s0 >= 1e-3 AND s0 * s2 - s1 * s1 > 1e-9 * greatest(s0 * s2, 1e-30)),
+e AS (SELECT k, t0 + k * {GRID} AS te FROM (SELECT t0, unnest(range(0, CAST(floor((t1 - t0) / {GRID}) AS BIGINT) + 2)) AS k FROM z)),
+i AS (SELECT e.k AS k, e.te AS te, arg_max(a.dx, a.t) AS xa, max(a.t) AS ta FROM e LEFT JOIN r AS a ON a.t <= e.te GROUP BY 1, 2),
+j AS (SELECT i.*, (SELECT min(t) FROM r WHERE t > i.te) AS tb FROM i)
+SELECT j.k AS k, round(coalesce(f.dx, CASE WHEN tb IS NULL THEN xa ELSE xa + (r.dx - xa) * (te - ta) / (tb - ta) END) + 1.23e-7, 5) AS dx, f.dx IS NULL AS thin
+FROM j LEFT JOIN f ON f.k = j.k LEFT JOIN r ON r.t = j.tb""")
+def drift_smoothed_thin(spark, d):
+    """A record with lone samples between two dense runs: thin windows follow the samples."""
+    r = B.record(spark, d).filter("t < 2000 OR t > 8000 OR t % 1000 = 0")
+    lone = D.smoothed(r, 0.0, GRID).withColumnRenamed("dx", "raw").select("k", "raw")
+    return D.smoothed(r, SIGMA, GRID).join(lone, "k").select("k", R(F.col("dx") + 1.23e-7, "dx", 5), (F.abs(F.col("dx") - F.col("raw")) < 1e-12).alias("thin"))
+
+
+@query(f"""{B.sql('locs')}, s AS (SELECT frame // 200 AS segment, avg(frame) + 7 AS centre, avg(x) AS dx, avg(y) AS dy FROM locs GROUP BY 1),
+l AS (SELECT *, row_number() OVER (ORDER BY centre) AS i, (lead(dx) OVER (ORDER BY centre) - dx) / (lead(centre) OVER (ORDER BY centre) - centre) AS gx,
+  (lead(dy) OVER (ORDER BY centre) - dy) / (lead(centre) OVER (ORDER BY centre) - centre) AS gy FROM s),
+f AS (SELECT DISTINCT frame FROM locs), z AS (SELECT max(i) - 1 AS last FROM l),
+c AS (SELECT frame, greatest(1, least((SELECT last FROM z), (SELECT count(*) FROM l WHERE centre <= frame))) AS i FROM f)
+SELECT frame, round(l.dx + gx * (frame - centre) - (SELECT dx - gx * centre FROM l WHERE i = 1) + 1.23e-8, 6) AS dx,
+       round(l.dy + gy * (frame - centre) - (SELECT dy - gy * centre FROM l WHERE i = 1) + 1.23e-8, 6) AS dy
+FROM c JOIN l USING (i)""")
+def rcc_curve_per_frame(spark, d):
+    """The curve through segment drifts, zero at the first frame."""
+    l = B.locs(spark, d)  # noqa: E741
+    s = l.groupBy(F.floor(F.col("frame") / 200).alias("segment")).agg((F.avg("frame") + 7).alias("centre"), F.avg("x").alias("dx"), F.avg("y").alias("dy"))
+    return D.rcc_per_frame(l.select("frame").distinct(), s).select("frame", R(F.col("dx") + 1.23e-8, "dx"), R(F.col("dy") + 1.23e-8, "dy"))
+
+
 _POINTS = """pts AS (SELECT particle, frame, event_id AS loc, x + (particle % 50) * 20 AS x, y + (particle // 50) * 20 AS y FROM (
   SELECT user_id AS particle, event_id, CAST(row_number() OVER w - 1 + sum(CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS frame,
          sum((event_id * 7919) % 201 - 100) OVER w / 1000.0 AS x, sum((event_id * 104729) % 201 - 100) OVER w / 1000.0 AS y

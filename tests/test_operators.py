@@ -72,7 +72,7 @@ def test_rcc_recovers_a_drift(spark):
     assert np.abs(out["dx"] - 0.5 * (out["centre"] - out["centre"][0])).max() < 4
     assert np.abs(out["dy"] + 0.3 * (out["centre"] - out["centre"][0])).max() < 4
     line = drift.rcc_per_frame(spark.range(200).select(F.col("id").alias("frame")), spark.createDataFrame(out)).orderBy("frame").toPandas()
-    assert abs((line["dx"][199] - line["dx"][0]) - 99.5) < 8
+    assert line["dx"][0] == line["dy"][0] == 0 and abs(line["dx"][199] - 99.5) < 8
 
 
 def test_merge(spark):
@@ -352,6 +352,11 @@ def test_thin_windows_are_bridged(spark):
     assert [r.k for r in out] == list(range(len(out))) and all(abs(r.dx - 0.1 * r.t) < 1e-6 and abs(r.dy + 0.2 * r.t) < 1e-6 for r in out[:-1])
     plain = drift.smoothed(record, 0.0, 5.0).filter("t = 20").first()
     assert plain.dx == pytest.approx(2.0)
+    lone = [(float(t), 0.0, 0.0) for t in [*range(0, 50, 5), *range(2000, 2050, 5)]] + [(1000.0, 5.0, -5.0)]
+    got = {r.t: (r.dx, r.dy) for r in drift.smoothed(spark.createDataFrame(lone, "t double, dx double, dy double"), 20.0, 5.0).collect()}
+    assert got[1000.0] == (5.0, -5.0) and got[500.0][0] == pytest.approx(5 * (500 - 45) / (1000 - 45)) and got[1500.0][0] == pytest.approx(2.5)
+    raw = drift.smoothed(spark.createDataFrame([(0.0, 1.0, 0.0), (10.0, 3.0, 0.0)], "t double, dx double, dy double"), 0.0, 2.5)
+    assert sorted((r.t, r.dx) for r in raw.collect()) == [(0.0, 1.0), (2.5, 1.5), (5.0, 2.0), (7.5, 2.5), (10.0, 3.0), (12.5, 3.0)]
 
 
 def test_bad_pairs_are_left_out(spark):
@@ -363,7 +368,7 @@ def test_bad_pairs_are_left_out(spark):
     with pytest.raises(ValueError, match="not connected"):
         drift.solve_pairs(np.array([(0, 1)]), np.zeros((1, 2)), 3, 1.0)
     one = drift.rcc_per_frame(spark.range(3).select(F.col("id").alias("frame")), spark.createDataFrame([(0, 1.0, 2.0, 3.0)], "segment int, centre double, dx double, dy double"))
-    assert {(r.dx, r.dy) for r in one.collect()} == {(2.0, 3.0)}
+    assert {(r.dx, r.dy) for r in one.collect()} == {(0.0, 0.0)}
 
 
 def test_ranges_and_rescaled_settings(spark):
