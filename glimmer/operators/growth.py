@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.functions import scalars
@@ -25,6 +25,22 @@ class QuadMap:
     def jacobian(self, x: Column, y: Column) -> list[Column]:
         return scalars.quad_jacobian(x, y, self.coef, self.center, self.scale)
 
+    def back(self, x: Column, y: Column, rounds: int = 6) -> tuple[Column, Column]:
+        """The position that the map takes to (x, y): Newton steps from the way back of its linear
+        part, folded over a fixed number of rounds."""
+        (ox, oy), (a, c), (b, d) = self.coef[:3]
+        det = a * d - b * c
+        u, v = (d * (x - ox) - b * (y - oy)) / det, (a * (y - oy) - c * (x - ox)) / det
+        start = F.struct((u * self.scale + self.center[0]).alias("x"), (v * self.scale + self.center[1]).alias("y"))
+
+        def step(p: Column, _: Column) -> Column:
+            at, (xx, xy, yx, yy) = self.at(p["x"], p["y"]), self.jacobian(p["x"], p["y"])
+            dx, dy, size = x - at[0], y - at[1], xx * yy - xy * yx
+            return F.struct((p["x"] + (yy * dx - xy * dy) / size).alias("x"), (p["y"] + (xx * dy - yx * dx) / size).alias("y"))
+
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
+        return found["x"], found["y"]
+
 
 def identity(center: tuple[float, float], scale: float) -> QuadMap:
     return QuadMap([center, (scale, 0.0), (0.0, scale), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)], center, scale)
@@ -47,6 +63,11 @@ def final_position(x: Column, y: Column, growth: QuadMap, m=(1.0, 0.0, 0.0, 1.0)
     return to_fluorescence(*growth.at(*to_white_light(x, y, m, t)), m, t)
 
 
+def first_position(x: Column, y: Column, growth: QuadMap, m=(1.0, 0.0, 0.0, 1.0), t=(0.0, 0.0)) -> tuple[Column, Column]:
+    """The way back of ``final_position``."""
+    return to_fluorescence(*growth.back(*to_white_light(x, y, m, t)), m, t)
+
+
 def local_position(fx: Column, fy: Column, jacobian: list[Column], cx: Column, cy: Column) -> tuple[Column, Column]:
     """Final positions taken back to local lengths about a centre: J^-1 (f - c) + c.
 
@@ -72,6 +93,12 @@ def mapped_rows(points: DataFrame, growth: QuadMap) -> DataFrame:
     return p.withColumn("x_local", lx).withColumn("y_local", ly).drop("_x", "_y", "_x_final", "_y_final")
 
 
+def map_table(spark: SparkSession, maps: list[QuadMap]) -> DataFrame:
+    """A row for each frame: frame, the 12 numbers of its map, its centre and scale."""
+    rows = [(k, [float(v) for pair in m.coef for v in pair], float(m.center[0]), float(m.center[1]), float(m.scale)) for k, m in enumerate(maps)]
+    return spark.createDataFrame(rows, "frame int, coef array<double>, cx double, cy double, scale double")
+
+
 def save_record(path: str, times: list[float], maps: list[QuadMap], stats: dict) -> None:
     with open(path, "w") as f:
         json.dump({"kind": "growth", "t_epoch": times, "forward": [asdict(m) for m in maps], "stats": stats}, f)
