@@ -246,12 +246,12 @@ def natural(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"(\d+)", "00000000000000000000$1"), r"0*(\d{20})", "$1")
 
 
-def listed(spark: SparkSession, path: str) -> DataFrame:
+def listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, length) of files; no content is read."""
     return spark.read.format("binaryFile").load(path).select("path", "length")
 
 
-def page_index(spark: SparkSession, path: str) -> DataFrame:
+def page_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A row for each page of the files of a path: where its pixels lie and how they are stored.
 
     Only directories are read, one task a file at most, and once: the index is checkpointed.  A
