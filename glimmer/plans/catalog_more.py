@@ -225,6 +225,24 @@ def step_length_densities(spark, d):
     return shown.select("bin", R(F.coalesce("k", F.lit(0)) / (F.col("n") * 0.01), "observed"), R("predicted"))
 
 
+@query(f"""{B.sql('walks')}, z AS (SELECT particle, frame - lag(frame) OVER w AS gap, 1000 * sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS r, power(sigma, 2) + power(lag(sigma) OVER w, 2) AS s
+  FROM walks WINDOW w AS (PARTITION BY particle ORDER BY frame)),
+o AS (SELECT r, s, (particle % 7) / 8.0 AS p, (particle % 3 + 1) / 4.0 * (1 - (particle % 7) / 8.0) AS q FROM z WHERE gap = 1),
+c AS (SELECT unnest(range(0, 30)) AS bin), k AS (SELECT floor(r / 5.03) AS bin, count(*) AS k FROM o WHERE r < 150.9 GROUP BY 1),
+d AS (SELECT c.bin AS bin, sum(p * m / (s + {2.0e6 * 0.0005 * 0.03 * (1 - 2 / 6)!r}) * exp(-m * m / (2 * (s + {2.0e6 * 0.0005 * 0.03 * (1 - 2 / 6)!r})))) / count(*) AS a,
+  sum(q * m / (s + {2.0e6 * 0.05 * 0.03 * (1 - 2 / 6)!r}) * exp(-m * m / (2 * (s + {2.0e6 * 0.05 * 0.03 * (1 - 2 / 6)!r})))) / count(*) AS b,
+  sum((1 - p - q) * m / (s + {2.0e6 * 0.4 * 0.03 * (1 - 2 / 6)!r}) * exp(-m * m / (2 * (s + {2.0e6 * 0.4 * 0.03 * (1 - 2 / 6)!r})))) / count(*) AS e
+  FROM o, (SELECT bin, (bin + 0.5) * 5.03 AS m FROM c) AS c GROUP BY 1)
+SELECT bin, round(coalesce(k, 0) / ((SELECT sum(k) FROM k) * 5.03), 9) AS observed, round(a, 9) AS predicted_0, round(b, 9) AS predicted_1, round(e, 9) AS predicted_2 FROM d LEFT JOIN k USING (bin)""")
+def step_lengths_by_population(spark, d):
+    """Observed step lengths, and the curve of each of three populations weighted by posteriors."""
+    w = B.walks(spark, d).select("particle", "frame", (F.col("x") * 1000).alias("x_nm"), (F.col("y") * 1000).alias("y_nm"), F.col("sigma").alias("sigma_nm"))
+    p, q = F.col("particle") % 7 / 8.0, (F.col("particle") % 3 + 1) / 4.0 * (1 - F.col("particle") % 7 / 8.0)
+    post = w.select("particle").distinct().select("particle", p.alias("p_immobile"), q.alias("p_1"), (1 - p - q).alias("p_2"))
+    out = populations.step_densities(populations.increments(w), post, [0.0005, 0.05, 0.4], 0.03, 5.03, 30)
+    return out.select("bin", *[R(c, places=9) for c in ("observed", "predicted_0", "predicted_1", "predicted_2")])
+
+
 @query(f"""{B.sql('tracks')}, p AS (SELECT particle, (particle % 10) / 10.0 AS p_immobile, count(*) AS n_points FROM tracks GROUP BY particle)
 SELECT round(sum(n_points * p_immobile) / sum(n_points), 9) AS p_immobile, round(avg(p_immobile), 9) AS by_trajectory FROM p""")
 def localization_fractions(spark, d):

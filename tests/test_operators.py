@@ -52,6 +52,19 @@ def test_smoother_is_exact_on_a_ramp(spark):
         assert r.dx == pytest.approx(3.0 + 0.4 * r.t, abs=1e-6) and r.dy == pytest.approx(-0.2 * r.t, abs=1e-6)
 
 
+def test_tabulated_likelihood_is_the_exact_one(spark):
+    rows = [(k, int(f), float(x), float(y), 20.0 + k) for k in range(30) for f, x, y in zip(np.cumsum(rng.integers(1, 4, 2 + k % 9)), rng.normal(0, 50, 2 + k % 9), rng.normal(0, 50, 2 + k % 9), strict=True)]
+    t = populations.increments(spark.createDataFrame(rows, "particle long, frame int, x_nm double, y_nm double, sigma_nm double"))
+    for blur in (0.0, 1 / 6):
+        table = populations.likelihood_table(t, 0.03, blur)
+        for g in (0, 57, 120):
+            exact = populations.log_likelihood(F.col("steps"), F.lit(float(populations.grid()[g])), 0.03, blur)
+            assert table.select(F.max(F.abs(exact - F.col("ll")[g]))).first()[0] < 1e-8
+    f = np.sin(np.log(populations.grid()) / 3)
+    assert f @ populations._between(math.log(0.0123)) == pytest.approx(math.sin(math.log(0.0123) / 3), abs=1e-6)
+    assert f @ populations._between(math.log(populations.GRID_MAX)) == pytest.approx(f[-1])
+
+
 def test_correction_is_reversible(spark):
     locs = spark.createDataFrame([(0, 10.0, 20.0), (7, 1.0, 2.0)], "frame int, x_nm double, y_nm double")
     series = spark.createDataFrame([(i, float(i), -float(i)) for i in range(5)], "frame int, dx double, dy double")
