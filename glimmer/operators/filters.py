@@ -26,16 +26,21 @@ def _within(df: DataFrame, name: str, low: float | None, high: float | None) ->
     return reduce(and_, parts)
 
 
+def _parts(df: DataFrame, bounds: Bounds) -> list[Column]:
+    return [_within(df, k, lo, hi) for k, (lo, hi) in bounds.items() if k in df.columns and (lo is not None or hi is not None)]
+
+
 def inside(df: DataFrame, bounds: Bounds) -> Column:
     """Whether a row is inside all bounds: both ends included, a side may be open, NaN and NULL are
     outside, an unknown column is ignored.  Never NULL."""
-    parts = [_within(df, k, lo, hi) for k, (lo, hi) in bounds.items() if k in df.columns and (lo is not None or hi is not None)]
-    return reduce(and_, parts) if parts else F.lit(True)
+    return reduce(and_, _parts(df, bounds), F.lit(True))
 
 
 def range_filter(df: DataFrame | None, bounds: Bounds) -> DataFrame | None:
-    """Rows inside all bounds.  No table gives no table."""
-    return None if df is None else df.filter(inside(df, bounds))
+    """Rows inside all bounds.  No table gives no table, no bounds the table itself."""
+    if df is None or not _parts(df, bounds):
+        return df
+    return df.filter(inside(df, bounds))
 
 
 def roi_filter(df: DataFrame, roi_px: tuple[float, float, float, float], pixel_nm: float, x: str = "x_nm", y: str = "y_nm") -> DataFrame:
@@ -92,3 +97,13 @@ def histograms(df: DataFrame, column: str | Column, width: float, kept: Column,
 def share_above(df: DataFrame, column: str, cutoff: float) -> DataFrame:
     """One row: the share of the rows above a cutoff, rows without a value left out."""
     return df.filter(F.col(column).isNotNull()).agg(F.avg((F.col(column) > cutoff).cast("double")).alias("share_above"))
+
+
+def concatenated(tables: list[DataFrame]) -> DataFrame:
+    """Localization tables one after another, ordered by frame; rows of one frame stay in the order
+    of the tables and of their rows, which ``part`` and ``place`` keep for later sorts."""
+    parts = [t.withColumn("part", F.lit(k)).withColumn("place", F.monotonically_increasing_id()) for k, t in enumerate(tables)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.orderBy("frame", "part", "place")

@@ -202,3 +202,15 @@ def rotated(image: DataFrame, quarter_turns: int, width: int, height: int) -> Da
 def blended(layers: DataFrame) -> DataFrame:
     """Additive composite of layers (row, col, r, g, b), clipped to 255."""
     return layers.groupBy("row", "col").agg(*[F.least(F.sum(c), F.lit(255)).cast("int").alias(c) for c in "rgb"])
+
+
+def forced_groups(movie: DataFrame, count: int, columns: tuple[str, ...] = ("n",)) -> DataFrame:
+    """A row for each movie frame 0 .. count - 1, also for those that no localization falls in; later
+    ones are left out."""
+    groups = movie.sparkSession.range(count).select(F.col("id").cast("int").alias("movie_frame"))
+    return groups.join(movie, "movie_frame", "left").fillna(0, list(columns))
+
+
+def frame_interval(interval_s: float, stride: int) -> float:
+    """Seconds between the shown frames of a movie that shows every ``stride``-th."""
+    return interval_s * max(1, stride)

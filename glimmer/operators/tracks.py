@@ -198,7 +198,8 @@ def precision_check(points: DataFrame, fit: DataFrame, sigma: Column) -> DataFra
     return met.withColumn("ratio", F.col("sigma_msd") / F.nullif(F.col("sigma_fit"), F.lit(0.0)))
 
 
-def binned_settings(n: int, offset: float, fps: float) -> tuple[float, float]:
-    """Camera offset and frame rate after n frames are added up: offsets add up, the rate falls."""
-    n = max(1, n)
-    return offset * n, fps / n
+def binned_settings(n: int, offset: float, fps: float, previous: int = 1) -> tuple[float, float]:
+    """Camera offset and frame rate after n frames are added up, from those that hold for bins of
+    ``previous`` frames: offsets add up, the rate falls; the pixel size stays."""
+    factor = max(1, n) / max(1, previous)
+    return offset * factor, fps / factor

@@ -389,5 +389,5 @@ def test_ranges_and_rescaled_settings(spark):
 
     with pytest.raises(ValueError, match="past its end"):
         render.fixed_range(spark.range(3).withColumnRenamed("id", "frame"), "frame", 5, 4)
-    assert tracks.binned_settings(4, 100.0, 20.0) == (400.0, 5.0)
+    assert tracks.binned_settings(4, 100.0, 20.0) == (400.0, 5.0) and tracks.binned_settings(2, 400.0, 5.0, 4) == (200.0, 10.0) and tracks.binned_settings(1, 400.0, 5.0, 4) == (100.0, 20.0)
     assert tables.json_object('{"a": 1', 0) is None and tables.json_object('{"a": {"b": "}"}} x', 0) == '{"a": {"b": "}"}}'
