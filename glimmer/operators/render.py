@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TRUNCATE, LEAST_SIGMA, MOST_RADIUS = 3.0, 0.5, 64
-#: Pixels of a side of the tiles that kernels are added up in, localizations that are added up
-#: together, and kernel pixels that are made at once.
-TILE, TOGETHER, AT_ONCE = 1024, 200_000, 1 << 21
+#: Pixels of a side of a tile, localizations that are dealt to tiles together, and those of one tile
+#: from which on they are drawn where they are.
+TILE, TOGETHER, DRAWN = 256, 200_000, 16_384
+#: Sides of the blocks whose localizations are added up by one product; the smallest with so many
+#: localizations a block is taken.
+BLOCKS, FILL = (16, 32, 64, 128), 64
 
 
 def binned(locs: DataFrame, width: int, height: int, over: int) -> DataFrame:
@@ -36,9 +39,9 @@ def splat(locs: DataFrame, width: int, height: int, over: int, sigma_px: Column,
     """Every localization as a Gaussian of its own width, cut at three sigma and normalised by
     what is left, so that it adds exactly its weight; what falls outside the field is lost.
 
-    Kernels are added up in tiles of the image by Arrow batches, at most ``TOGETHER``
-    localizations at a time; what leaves a task is a row for each pixel that got something, and
-    the shuffle adds those of all tasks.
+    Localizations go to the tiles of the image that they touch, packed by tile, and a task draws
+    tile after tile.  Where a task has many of one tile, it draws them itself and hands on the
+    pixels, so a crowded tile costs its pixels for each task and not its localizations.
     """
     s = F.least(F.greatest(F.coalesce(F.when(~F.isnan(sigma_px), sigma_px * over), F.lit(LEAST_SIGMA)), F.lit(LEAST_SIGMA)), F.lit(MOST_RADIUS / TRUNCATE))
     rows = locs.filter("x IS NOT NULL AND y IS NOT NULL").filter(~F.isnan("x") & ~F.isnan("y"))
@@ -49,62 +52,117 @@ def splat(locs: DataFrame, width: int, height: int, over: int, sigma_px: Column,
     for at, size in (("_fx", width * over), ("_fy", height * over)):
         rows = rows.filter((F.floor(at) + reach >= 0) & (F.floor(at) - reach < size))
     keys = [rows.schema[c] for c in by]
-    schema = T.StructType([*keys, T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("value", T.DoubleType())])
     shape = (height * over, width * over)
+    pixel = [T.StructField("row", T.IntegerType()), T.StructField("col", T.IntegerType()), T.StructField("value", T.DoubleType())]
+    place = [T.StructField("ty", T.IntegerType()), T.StructField("tx", T.IntegerType())]
+    dealt = T.StructType([*keys, *place, T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())])
 
-    def run(batches):
+    def deal(batches):
         held, n = [], 0
         for rows_in in batches:
             held.append(rows_in)
             n += rows_in.num_rows
             if n >= TOGETHER:
-                yield from _splatted(pa.Table.from_batches(held), len(by), shape)
+                yield _dealt(pa.Table.from_batches(held), by, shape)
                 held, n = [], 0
-        if held:
-            yield from _splatted(pa.Table.from_batches(held), len(by), shape)
-
-    return rows.mapInArrow(run, schema).groupBy(*by, "row", "col").agg(F.sum("value").alias("value"))
-
-
-def _splatted(table: pa.Table, n_keys: int, shape: tuple[int, int]):
-    """Batches (keys, row, col, value) of the kernels of localizations (keys, fx, fy, s, w)."""
-    fx, fy, s, w = (table.column(n_keys + k).to_numpy() for k in range(4))
-    r = np.ceil(s * TRUNCATE).astype(np.int64)
-    group = np.zeros(len(fx), np.int64)
-    for k in range(n_keys):
-        code = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-        group = np.unique(group * (int(code.max(initial=0)) + 1) + code, return_inverse=True)[1]
-    tile = (np.clip(np.floor(fy).astype(np.int64), 0, shape[0] - 1) // TILE) * (shape[1] // TILE + 1) + np.clip(np.floor(fx).astype(np.int64), 0, shape[1] - 1) // TILE
-    order = np.lexsort((r, tile, group))
-    edges = np.flatnonzero((np.diff(group[order]) != 0) | (np.diff(tile[order]) != 0)) + 1
-    for some in np.split(order, edges):
-        if not len(some):
-            continue
-        reach = int(r[some[-1]])
-        y0, x0 = (max(0, int(np.floor(v[some].min())) - reach) for v in (fy, fx))
-        y1, x1 = (min(m, int(np.floor(v[some].max())) + reach + 1) for v, m in zip((fy, fx), shape, strict=True))
-        size = (y1 - y0, x1 - x0)
-        image = np.zeros(size[0] * size[1])
-        for same in np.split(some, np.flatnonzero(np.diff(r[some])) + 1):
-            d = np.arange(-int(r[same[0]]), int(r[same[0]]) + 1)
-            share = max(1, AT_ONCE // len(d) ** 2)
-            for k in range(0, len(same), share):
-                i = same[k : k + share]
-                sides = []
-                for f, low, n in ((fy[i], y0, size[0]), (fx[i], x0, size[1])):
-                    at = np.floor(f).astype(np.int64)[:, None] + d
-                    g = np.exp(-((at + 0.5 - f[:, None]) ** 2) / (2 * s[i] ** 2)[:, None])
-                    g /= g.sum(1, keepdims=True)
-                    at -= low
-                    g[(at < 0) | (at >= n)] = 0
-                    sides.append((np.clip(at, 0, n - 1), g))
-                (ay, gy), (ax, gx) = sides
-                flat = (ay * size[1])[:, :, None] + ax[:, None, :]
-                image += np.bincount(flat.reshape(-1), ((w[i][:, None] * gy)[:, :, None] * gx[:, None, :]).reshape(-1), len(image))
-        found = np.flatnonzero(image)
-        keys = [table.column(k).slice(int(some[0]), 1).take(pa.array(np.zeros(len(found), np.int64))).combine_chunks() for k in range(n_keys)]
-        rest = [pa.array((found // size[1] + y0).astype(np.int32)), pa.array((found % size[1] + x0).astype(np.int32)), pa.array(image[found])]
-        yield pa.RecordBatch.from_arrays([*keys, *rest], [*table.column_names[:n_keys], "row", "col", "value"])
+        if n:
+            yield _dealt(pa.Table.from_batches(held), by, shape)
+
+    def draw(batches):
+        now, total, first = None, np.zeros((TILE, TILE)), None
+
+        def finished() -> pa.RecordBatch:
+            flat = total.reshape(-1)
+            found = np.flatnonzero(flat)
+            named = [c.take(pa.array(np.zeros(len(found), np.int64))) for c in first]
+            places = [(found // TILE + now[-2] * TILE).astype(np.int32), (found % TILE + now[-1] * TILE).astype(np.int32), flat[found]]
+            out = pa.RecordBatch.from_arrays([*named, *map(pa.array, places)], [*by, "row", "col", "value"])
+            total[:] = 0
+            return out
+
+        for batch in batches:
+            *named, at, value = batch.columns
+            for i, tile in enumerate(zip(*(c.to_pylist() for c in named), strict=True)):
+                if tile != now:
+                    if now is not None:
+                        yield finished()
+                    now, first = tile, [c.slice(i, 1) for c in named[: len(by)]]
+                if at[i].is_valid:
+                    total.reshape(-1)[np.frombuffer(at[i].as_buffer(), np.int32)] += np.frombuffer(value[i].as_buffer(), np.float64)
+                else:
+                    _drawn(total, *np.frombuffer(value[i].as_buffer(), np.float64).reshape(4, -1), *tile[-2:], shape)
+        if now is not None:
+            yield finished()
+
+    tiles = rows.mapInArrow(deal, dealt).repartition(*by, "ty", "tx").sortWithinPartitions(*by, "ty", "tx")
+    return tiles.mapInArrow(draw, T.StructType([*keys, *pixel]))
+
+
+def _side(f: np.ndarray, s: np.ndarray, reach: int, low: int, n: int) -> np.ndarray:
+    """Normalised kernels of centres f on the pixels low .. low + n - 1, which hold them whole."""
+    pixels = low + np.arange(n)
+    g = np.exp(-0.5 * ((pixels + 0.5 - f[:, None]) / s[:, None]) ** 2)
+    g[np.abs(pixels - np.floor(f)[:, None]) > reach] = 0.0
+    return g / g.sum(1, keepdims=True)
+
+
+def _drawn(total: np.ndarray, fx: np.ndarray, fy: np.ndarray, s: np.ndarray, w: np.ndarray, ty: int, tx: int, shape: tuple[int, int]) -> None:
+    """Add the part of localizations that lies in a tile.
+
+    A Gaussian is the product of a column and a row, so the image of the localizations of a block is
+    one matrix product of their columns and rows.
+    """
+    reach = np.ceil(s * TRUNCATE).astype(np.int64)
+    for side in BLOCKS:
+        blocks = np.stack([reach, np.floor(fy / side).astype(np.int64), np.floor(fx / side).astype(np.int64)])
+        order = np.lexsort(blocks[::-1])
+        begins = np.flatnonzero(np.append(True, np.any(np.diff(blocks[:, order], axis=1) != 0, axis=0)))
+        if len(fx) >= FILL * len(begins):
+            break
+    y0, x0 = ty * TILE, tx * TILE
+    y1, x1 = min(y0 + TILE, shape[0]), min(x0 + TILE, shape[1])
+    for i, j in zip(begins, np.append(begins[1:], len(fx)), strict=True):
+        some = order[i:j]
+        r, row, col = (int(v) for v in blocks[:, some[0]])
+        n, top, left = side + 2 * r, row * side - r, col * side - r
+        a, b, c, d = max(top, y0), min(top + n, y1), max(left, x0), min(left + n, x1)
+        if b > a and d > c:
+            columns, rows = _side(fy[some], s[some], r, top, n)[:, a - top : b - top], _side(fx[some], s[some], r, left, n)[:, c - left : d - left]
+            total[a - y0 : b - y0, c - x0 : d - x0] += (columns * w[some, None]).T @ rows
+
+
+def _dealt(table: pa.Table, by: tuple[str, ...], shape: tuple[int, int]) -> pa.RecordBatch:
+    """(keys, ty, tx, at, value): localizations (keys, fx, fy, s, w) packed by the tiles they touch,
+    with ``at`` null, or the pixels of a tile that was drawn."""
+    fx, fy, s, w = columns = [table.column(len(by) + k).to_numpy() for k in range(4)]
+    reach = np.ceil(s * TRUNCATE)
+    key = np.zeros(len(fx), np.int64)
+    for c in range(len(by)):
+        code = table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        key = np.unique(key * (int(code.max(initial=0)) + 1) + code, return_inverse=True)[1]
+    tiles = [np.clip(np.floor((f + sign * reach) / TILE), 0, (n - 1) // TILE).astype(np.int64) for f, n in ((fy, shape[0]), (fx, shape[1])) for sign in (-1, 1)]
+    y0, y1, x0, x1 = tiles
+    each = np.arange(len(fx))
+    touched = [np.stack([key, y, x, each])[:, (y <= y1) & (x <= x1)] for y in (y0, y0 + 1) for x in (x0, x0 + 1)]
+    touched = np.concatenate(touched, 1)
+    touched = touched[:, np.lexsort(touched[2::-1])]
+    begins = np.flatnonzero(np.append(True, np.any(np.diff(touched[:3], axis=1) != 0, axis=0)))
+    places, value = [], []
+    for i, j in zip(begins, np.append(begins[1:], touched.shape[1]), strict=True):
+        some, (_, ty, tx, one) = touched[3, i:j], touched[:, i]
+        packed = np.stack([c[some] for c in columns])
+        if j - i < DRAWN:
+            places.append((one, ty, tx, None))
+            value.append(packed.tobytes())
+        else:
+            total = np.zeros((TILE, TILE))
+            _drawn(total, *packed, int(ty), int(tx), shape)
+            found = np.flatnonzero(total.reshape(-1)).astype(np.int32)
+            places.append((one, ty, tx, found.tobytes()))
+            value.append(total.reshape(-1)[found].tobytes())
+    one, ty, tx, at = zip(*places, strict=True)
+    named = [table.column(c).combine_chunks().take(pa.array(one, pa.int64())) for c in range(len(by))]
+    return pa.RecordBatch.from_arrays([*named, pa.array(ty, pa.int32()), pa.array(tx, pa.int32()), pa.array(at, pa.binary()), pa.array(value, pa.binary())], [*by, "ty", "tx", "at", "value"])
 
 
 def blurred(image: DataFrame, sigma: float, width: int, height: int) -> DataFrame:

@@ -333,9 +333,14 @@ def test_synthetic(spark):
     assert sinks.projection(movie).first()["value"] == 5.0 and sinks.projection(movie, True).first()["value"] == 3.0
 
 
-def test_splat_against_a_plain_sum(spark):
+@pytest.mark.parametrize("drawn,tile", [(16_384, 256), (1, 256), (20, 130)])
+def test_splat_against_a_plain_sum(spark, monkeypatch, drawn, tile):
     from glimmer.operators import render
 
+    monkeypatch.setattr(render, "DRAWN", drawn)
+    monkeypatch.setattr(render, "TILE", tile)
+    monkeypatch.setattr(render, "TOGETHER", 90)
+
     rows = [(int(k), float(rng.uniform(-2, 42)), float(rng.uniform(-2, 32)), float(s), float(w)) for k, s, w in zip(rng.integers(0, 2, 300), rng.choice([0.1, 0.7, 2.5, 40.0], 300), rng.uniform(0, 3, 300), strict=True)]
     rows += [(0, None, 1.0, 1.0, 1.0), (0, 1.0, 1.0, float("nan"), 1.0), (1, 5.0, 5.0, None, 2.0), (1, 5.0, 5.0, 1.0, None)]
     df = spark.createDataFrame(rows, "m int, x double, y double, s double, w double").repartition(3)
