@@ -14,6 +14,7 @@ against that of a.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -353,3 +354,36 @@ def measure(
             break
     out.forward, out.inverse = forward, inverse
     return out
+
+
+# --- records ----------------------------------------------------------------------------------
+
+
+def _numbers(m: QuadMap) -> dict:
+    return {"coef": [list(c) for c in m.coef], "center": list(m.center), "scale": m.scale}
+
+
+def _map(d: dict) -> QuadMap:
+    return QuadMap([tuple(c) for c in d["coef"]], tuple(d["center"]), d["scale"])
+
+
+def save_growth(path: str, times: list[float], growth: Growth) -> None:
+    """A measured growth with its times, and beside it the maps of every stage."""
+    with open(path, "w") as f:
+        json.dump({"kind": "growth", "t_epoch": times, "theta": growth.theta, "forward": list(map(_numbers, growth.forward)), "inverse": list(map(_numbers, growth.inverse)), "history": growth.history}, f)
+    with open(f"{path}.steps", "w") as f:
+        json.dump([list(map(_numbers, maps)) for maps in growth.steps], f)
+
+
+def load_growth(path: str) -> tuple[list[float], Growth]:
+    """The record; without the stages if what was kept of them is gone or damaged."""
+    with open(path) as f:
+        d = json.load(f)
+    if d.get("kind") != "growth" or "inverse" not in d:
+        raise ValueError(f"{path} is not a measured growth")
+    try:
+        with open(f"{path}.steps") as f:
+            steps = [list(map(_map, maps)) for maps in json.load(f)]
+    except (OSError, ValueError, KeyError, TypeError):
+        steps = []
+    return d["t_epoch"], Growth(list(map(_map, d["forward"])), list(map(_map, d["inverse"])), d["theta"], d["history"], steps)

@@ -406,9 +406,12 @@ def segment_pairs(spark, d):
     return D.segment_pairs(B.locs(spark, d).select(F.floor(F.col("frame") / 100).alias("segment")).distinct())
 
 
-@query("""SELECT DISTINCT a, b FROM (SELECT range AS a, range + unnest([1, 2, 4, 8, 16]) AS b FROM range(40) UNION ALL SELECT range, 39 FROM range(40)) WHERE a < b AND b < 40""")
+@query(f"""{B.sql('record')}, s AS (SELECT DISTINCT CAST(floor(t / 37.5) AS BIGINT) AS k FROM record WHERE t % 100 < 40)
+SELECT p.k AS a, q.k AS b FROM s AS p JOIN s AS q ON q.k > p.k WHERE q.k - p.k IN (1, 2, 4, 8, 16) OR q.k = (SELECT max(k) FROM s)""")
 def lagged_pairs(spark, d):
-    return D.lagged_pairs(40, [1, 2, 4, 8, 16], spark)
+    """Snapshots at the times of a drift record, with numbers that are missing."""
+    s = B.record(spark, d).filter("t % 100 < 40").select(F.floor(F.col("t") / 37.5).alias("snapshot"))
+    return D.lagged_pairs(s, [1, 2, 4, 8, 16])
 
 
 @query(f"""{B.sql('locs')}, i AS (SELECT {PIX}, sum(photons) AS value FROM locs WHERE {IN_FIELD} GROUP BY 1, 2) SELECT 0.0::DOUBLE AS low, round(quantile_cont(value, 0.999), 4) AS high, count(*) AS pixels FROM i WHERE value > 0""")

@@ -138,3 +138,17 @@ def test_a_warped_stack_on_a_larger_canvas(spark):
         assert image.shape == (50, 70)
         top, left = 10 - 5 * r.frame, 10 * r.frame
         assert np.allclose(image[top : top + 40, left : left + 50], x + 100 * y + r.frame) and image.sum() == pytest.approx((x + 100 * y + r.frame).sum())
+
+
+def test_records(tmp_path):
+    m = growth.QuadMap([(1.0, 2.0), (3.0, 4.0), (5.0, 6.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)], (1.0, 2.0), 3.0)
+    g = refine.Growth([m, m], [m, m], 1.5, [{"pass": 1, "rms_px": 0.1}], [[m, m], [m, m]])
+    path = str(tmp_path / "g.json")
+    refine.save_growth(path, [0.0, 30.0], g)
+    assert refine.load_growth(path) == ([0.0, 30.0], g)
+    (tmp_path / "g.json.steps").write_text("[[{")
+    times, back = refine.load_growth(path)
+    assert back.steps == [] and back.inverse == g.inverse
+    (tmp_path / "other.json").write_text('{"kind": "drift"}')
+    with pytest.raises(ValueError, match="not a measured growth"):
+        refine.load_growth(str(tmp_path / "other.json"))
