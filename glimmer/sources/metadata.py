@@ -101,6 +101,7 @@ def sidecar_findings(name: str, text: str) -> list[tuple]:
 
 def acquisition_findings(name: str, text: str) -> list[tuple]:
     """The calibration that the acquisition program wrote beside its stacks."""
+    # The names of its fields.
     out = Findings(name)
     try:
         data = json.loads(text)
