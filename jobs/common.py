@@ -28,6 +28,17 @@ def read_config(spark: SparkSession, path: str | None, module_file: str) -> dict
     return config
 
 
+def given(spark: SparkSession, source: str, files: str) -> DataFrame:
+    """The Parquet tables of a name pattern in the input folder, each a file or a folder of part
+    files; where the folder holds none, the files of that name in its partition folders."""
+    try:
+        return spark.read.parquet(f"{source}/{files}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.read.option("pathGlobFilter", files).parquet(source)
+
+
 def table_or_none(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame | None:
     """A Parquet table, or None if nothing was written there yet."""
     try:

@@ -10,6 +10,7 @@ lang and source), the rows inside.  The shipped preset measures ``documents``: c
 lines, mean word length, share of letters and of digits, as a table of texts is looked at before
 it is used.
 
+The input folder holds tables by the config's name pattern, each a file or a folder of part files.
 The texts are read twice, once to measure them and once to keep them; bounds and histograms are
 made of ``measures``.  The rows that are kept are dealt by their group, large groups to several
 tasks.  A rerun overwrites what the first run wrote; partitions of groups that are gone go too.
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.operators import filters
-from jobs.common import command_line, new_folder, read_config, shipped_config
+from jobs.common import command_line, given, new_folder, read_config, shipped_config
 
 log = logging.getLogger("filter_report")
 
@@ -65,7 +66,7 @@ def written(table: DataFrame, path: str, by: list[str]) -> DataFrame:
 
 def run(spark: SparkSession, source: str, output: str, config: dict) -> dict[str, DataFrame]:
     """Write all tables; they are returned as read back."""
-    raw = spark.read.option("pathGlobFilter", config["files"]).parquet(source)
+    raw = given(spark, source, config["files"])
     out = {"measures": written(measured(raw, config, config["carry"][:1]), f"{output}/measures", [])}
     bounds = used_bounds(out["measures"], config)
     log.info("read %s, bounds %s", source, bounds)

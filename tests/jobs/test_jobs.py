@@ -151,6 +151,17 @@ def test_awkward_rows(spark, tmp_path):
     assert sum(n for (m, _, _), (n, _) in bins.items() if m == "word_length") == sum(bool(words(t or "")) for _, t, _, _ in ODD)
 
 
+@pytest.mark.parametrize("places", [["documents.parquet/part-0000.parquet", "documents.parquet/part-0001.parquet", "documents_2.parquet", "labels.parquet/part-0000.parquet"], ["day=1/documents.parquet", "day=2/documents.parquet", "day=2/documents_2.parquet"]])
+def test_tables_of_part_files_and_partition_folders(spark, tmp_path, places):
+    for k, place in enumerate(places):  # other tables of the folder are not read
+        (tmp_path / "in" / place).parent.mkdir(parents=True, exist_ok=True)
+        rows = pd.DataFrame({"doc_id": [2 * k, 2 * k + 1], "text": ["one two three four five six", "too short"], "lang": "en", "source": "a"})
+        rows.to_parquet(tmp_path / "in" / place)
+    out = report.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), REPORT)
+    assert sorted(r.doc_id for r in out["measures"].collect()) == list(range(6))
+    assert sorted(r.doc_id for r in out["kept"].collect()) == [0, 2, 4]
+
+
 def test_a_group_that_is_gone(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string"
     good = "one two three four five six"
