@@ -27,17 +27,31 @@ from glimmer.session import cut
 #: Groups of frames, for each shuffle partition, whose contested subnets are solved in one call.
 SHARES = 4
 
+
+def _spread(points: DataFrame, search: float, reach: int) -> DataFrame:
+    """``points`` with a copy for each cell (block, cx, cy) that holds what they can link to: cells
+    are twice the range wide and ``reach`` frames long, so a point has four copies in a plane, or a
+    few more at an edge (rounding never loses a pair), in at most two blocks."""
+    block = lambda k: F.floor((F.col("frame") + k) / reach)
+    out = points.withColumn("block", F.explode(F.sequence(block(1), block(reach))))
+    for c, v in (("cx", "x"), ("cy", "y")):
+        at = F.col(v) / (2 * search)
+        out = out.withColumn(c, F.explode(F.sequence(F.floor(at - 0.5001), F.floor(at + 0.5001))))
+    return out
+
+
 def candidates(points: DataFrame, search: float, by: tuple[str, ...] = (), memory: int = 0) -> DataFrame:
     """(by, frame, a, b, gap, sq): pairs of points (by their ``loc``) within the range, b in one of
     the ``memory + 1`` frames after that of a (``frame`` is that of b)."""
-    p = points.select(*by, "loc", "frame", "x", "y").withColumn("cx", F.floor(F.col("x") / search)).withColumn("cy", F.floor(F.col("y") / search))
-    a = p.select(*by, F.col("loc").alias("a"), "frame", F.col("x").alias("xa"), F.col("y").alias("ya"), "cx", "cy")
-    near = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).cast("long").alias("k")) for k in range(1, memory + 2) for i, j in product((-1, 0, 1), repeat=2)]
-    a = a.withColumn("d", F.explode(F.array(*near))).withColumn("cx", F.col("cx") + F.col("d.i")).withColumn("cy", F.col("cy") + F.col("d.j"))
-    a = a.withColumn("gap", F.col("d.k")).withColumn("frame", F.col("frame") + F.col("gap"))
-    b = p.select(*by, F.col("loc").alias("b"), "frame", F.col("x").alias("xb"), F.col("y").alias("yb"), "cx", "cy")
+    reach = memory + 1
+    p = points.select(*by, "loc", F.col("frame").cast("long").alias("frame"), "x", "y")
+    a = _spread(p, search, reach).select(*by, F.col("loc").alias("a"), F.col("frame").alias("fa"), F.col("x").alias("xa"), F.col("y").alias("ya"), "block", "cx", "cy")
+    cell = [F.floor(F.col("frame") / reach).alias("block"), *[F.floor(F.col(v) / (2 * search)).alias(c) for c, v in (("cx", "x"), ("cy", "y"))]]
+    b = p.select(*by, F.col("loc").alias("b"), "frame", F.col("x").alias("xb"), F.col("y").alias("yb"), *cell)
+    gap = F.col("frame") - F.col("fa")
     sq = F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)
-    return a.join(b, [*by, "frame", "cx", "cy"]).withColumn("sq", sq).filter(F.col("sq") <= search * search).select(*by, "frame", "a", "b", "gap", "sq")
+    met = a.join(b, [*by, "block", "cx", "cy"]).withColumn("gap", gap).withColumn("sq", sq)
+    return met.filter(F.col("gap").between(1, reach) & (F.col("sq") <= search * search)).select(*by, "frame", "a", "b", "gap", "sq")
 
 
 def _subnets(cost: dict[tuple[int, int], float]) -> list[list[tuple[int, int]]]:

@@ -81,6 +81,23 @@ def test_against_frame_by_frame(spark, memory, size):
     assert got == brute_link(points, 1.0, memory)
 
 
+@pytest.mark.parametrize("memory", [0, 1, 2, 5])
+def test_candidates_without_many_copies(spark, memory):
+    """On and off the edges of cells, at negative places and frames, and at the range itself; a copy
+    of a point for each neighbouring cell and frame would be 9 times the frames."""
+    rng = np.random.default_rng(memory)
+    n = 400
+    points = pd.DataFrame({"loc": np.arange(n), "frame": rng.integers(-20, 20, n), "x": rng.integers(-12, 12, n) / 4, "y": rng.integers(-12, 12, n) * 0.1})
+    points.loc[:99, ["x", "y"]] += 4e6  # far out, where the range is a small part of a number
+    points.loc[100:199, ["x", "y"]] = rng.uniform(-4, 4, (100, 2))
+    table = spark.createDataFrame(points)
+    got = sorted((r.a, r.b, r.gap, r.frame) for r in L.candidates(table, 1.5, memory=memory).collect())
+    f, x, y = (points[c].to_numpy() for c in ("frame", "x", "y"))
+    near = ((x[:, None] - x) ** 2 + (y[:, None] - y) ** 2 <= 1.5**2) & (f - f[:, None] >= 1) & (f - f[:, None] <= memory + 1)
+    assert got == sorted((a, b, f[b] - f[a], f[b]) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))
+    assert L._spread(table, 1.5, memory + 1).count() <= 9 * n  # 9 * (memory + 1) * n before
+
+
 def test_acquisitions_are_apart(spark):
     parts = [crowd(seed, 12, 10, 4.0).assign(movie=seed) for seed in (1, 2)]
     parts[1]["loc"] += 500_000
