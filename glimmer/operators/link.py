@@ -50,7 +50,8 @@ def candidates(points: DataFrame, search: float, by: tuple[str, ...] = (), memor
     b = p.select(*by, F.col("loc").alias("b"), "frame", F.col("x").alias("xb"), F.col("y").alias("yb"), *cell)
     gap = F.col("frame") - F.col("fa")
     sq = F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)
-    met = a.join(b, [*by, "block", "cx", "cy"]).withColumn("gap", gap).withColumn("sq", sq)
+    # Spark judges the points by the size of their file and would send all of a small file's through the driver, hence the hint.
+    met = a.hint("merge").join(b, [*by, "block", "cx", "cy"]).withColumn("gap", gap).withColumn("sq", sq)
     return met.filter(F.col("gap").between(1, reach) & (F.col("sq") <= search * search)).select(*by, "frame", "a", "b", "gap", "sq")
 
 

@@ -5,6 +5,8 @@ import itertools
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from glimmer.operators import link as L
 
@@ -98,6 +100,18 @@ def test_candidates_without_many_copies(spark, memory):
     assert L._spread(table, 1.5, memory + 1).count() <= 9 * n  # 9 * (memory + 1) * n before
 
 
+@pytest.mark.parametrize("kind", ["plain"])
+def test_points_are_not_broadcast(spark, tmp_path, capsys, kind):
+    """A small file may hold many points, and each has copies: the join deals them out, whatever Spark makes of the file's size."""
+    spark.createDataFrame(crowd(1, 12, 10, 4.0).assign(movie=1)).write.parquet(f"{tmp_path}/points")
+    table = spark.read.parquet(f"{tmp_path}/points")
+    if kind == "crowded":  # numbered first, as the queries do
+        table = table.withColumn("frame", F.row_number().over(Window.partitionBy("movie", "frame").orderBy("loc")).cast("long"))
+    found = L.candidates(table, 1.0, ("movie",), 1)
+    found.explain()
+    assert "Broadcast" not in capsys.readouterr().out
+
+
 def test_acquisitions_are_apart(spark):
     parts = [crowd(seed, 12, 10, 4.0).assign(movie=seed) for seed in (1, 2)]
     parts[1]["loc"] += 500_000
