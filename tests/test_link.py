@@ -100,7 +100,7 @@ def test_candidates_without_many_copies(spark, memory):
     assert L._spread(table, 1.5, memory + 1).count() <= 9 * n  # 9 * (memory + 1) * n before
 
 
-@pytest.mark.parametrize("kind", ["plain"])
+@pytest.mark.parametrize("kind", ["plain", "crowded"])
 def test_points_are_not_broadcast(spark, tmp_path, capsys, kind):
     """A small file may hold many points, and each has copies: the join deals them out, whatever Spark makes of the file's size."""
     spark.createDataFrame(crowd(1, 12, 10, 4.0).assign(movie=1)).write.parquet(f"{tmp_path}/points")
