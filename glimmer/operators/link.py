@@ -26,6 +26,14 @@ from glimmer.session import cut
 
 #: Groups of frames, for each shuffle partition, whose contested subnets are solved in one call.
 SHARES = 4
+#: Frames of a round that are sent to all tasks; more are dealt out.
+FEW = 10_000
+
+
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """The join of two tables that grow with the points, dealt out by key.  Left to itself, Spark sends a
+    table of up to some 10 MB through the driver, in this and in every round, whose copies add up there."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def _spread(points: DataFrame, search: float, reach: int) -> DataFrame:
@@ -50,8 +58,7 @@ def candidates(points: DataFrame, search: float, by: tuple[str, ...] = (), memor
     b = p.select(*by, F.col("loc").alias("b"), "frame", F.col("x").alias("xb"), F.col("y").alias("yb"), *cell)
     gap = F.col("frame") - F.col("fa")
     sq = F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2)
-    # Spark judges the points by the size of their file and would send all of a small file's through the driver, hence the hint.
-    met = a.hint("merge").join(b, [*by, "block", "cx", "cy"]).withColumn("gap", gap).withColumn("sq", sq)
+    met = _met(a, b, [*by, "block", "cx", "cy"]).withColumn("gap", gap).withColumn("sq", sq)
     return met.filter(F.col("gap").between(1, reach) & (F.col("sq") <= search * search)).select(*by, "frame", "a", "b", "gap", "sq")
 
 
@@ -156,12 +163,14 @@ def links(points: DataFrame, search: float, memory: int = 0, by: tuple[str, ...]
     found, before = cut(_solved(edges.filter("gap = 1"), search, by)), None
     while True:
         now = cut(found.groupBy("a").agg(F.min("frame").alias("is")))
-        state = edges.join(now if before is None else now.join(before, "a", "full"), "a", "left")
+        state = _met(edges, now if before is None else _met(now, before, "a", "full"), "a", "left")
         is_open = F.col("is").isNull() | (F.col("is") >= F.col("frame"))  # not linked to a frame before
         was_open = F.col("gap") == 1 if before is None else F.col("was").isNull() | (F.col("was") >= F.col("frame"))
         frames = cut(state.filter(is_open != was_open).select(*by, "frame").distinct())
-        if frames.isEmpty():
+        n = frames.count()
+        if not n:
             return found.select("a", "b")
+        frames = frames.hint("broadcast" if n <= FEW else "merge")
         again = state.filter(is_open).join(frames, [*by, "frame"], "left_semi").select(edges.columns)
         found = cut(found.join(frames, [*by, "frame"], "left_anti").unionByName(_solved(again, search, by)))
         before = now.withColumnRenamed("is", "was")
@@ -173,14 +182,14 @@ def link(points: DataFrame, search: float, memory: int = 0, least: int = 1, by:
     roots = cut(links(points, search, memory, by).select(F.col("b").alias("loc"), F.col("a").alias("root")))
     while True:  # pointer doubling: the number of rounds is the logarithm of the longest trajectory
         step = roots.select(F.col("loc").alias("root"), F.col("root").alias("next"))
-        new = cut(roots.join(step, "root", "left").select("loc", F.coalesce("next", "root").alias("root")))
-        changed = new.join(roots.withColumnRenamed("root", "old"), "loc").filter("root <> old").isEmpty()
-        roots = new
-        if changed:
+        new = cut(_met(roots, step, "root", "left").select("loc", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        roots = new.drop("moved")
+        if new.filter("moved").isEmpty():
             break
-    linked = points.join(roots, "loc", "left").withColumn("particle", F.coalesce("root", "loc")).drop("root")
+    linked = _met(points, roots, "loc", "left").withColumn("particle", F.coalesce("root", "loc")).drop("root")
     if least > 1:
-        linked = linked.join(linked.groupBy("particle").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("particle"), "particle", "left_semi")
+        long = linked.groupBy("particle").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("particle")
+        linked = _met(linked, long, "particle", "left_semi")
     return linked
 
 

@@ -112,6 +112,24 @@ def test_points_are_not_broadcast(spark, tmp_path, capsys, kind):
     assert "Broadcast" not in capsys.readouterr().out
 
 
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_links_are_not_broadcast(spark, monkeypatch, few):
+    """What grows with the points is dealt out in every round, however small it is; only the frames of a round with few of them are not."""
+    monkeypatch.setattr(L, "FEW", few, raising=False)
+    plans = []
+    run = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    cut = L.cut
+    monkeypatch.setattr(L, "cut", lambda df: (cut(df), plans.append(run(df)))[0])
+    points = crowd(2, 25, 12, 4.0)
+    out = L.link(spark.createDataFrame(points), 1.0, 2, least=2)
+    got = {r["loc"]: r.particle for r in out.collect()}
+    want = pd.Series(brute_link(points, 1.0, 2))
+    assert got == want[want.map(want.value_counts()) > 1].to_dict()
+    joins = [line for plan in [*plans, run(out)] for line in plan.splitlines() if "Join" in line]
+    sent = [line for line in joins if "BroadcastHashJoin" in line]
+    assert len(joins) > 9 and all(few and ("LeftSemi" in line or "LeftAnti" in line) and "frame" in line for line in sent)
+
+
 def test_acquisitions_are_apart(spark):
     parts = [crowd(seed, 12, 10, 4.0).assign(movie=seed) for seed in (1, 2)]
     parts[1]["loc"] += 500_000
